@@ -6,14 +6,39 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessera.llm import bpe, simhash
+from tessera.llm import bpe, packing, secret_scan, simhash, span_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secret spans of documents, with a digest of the base patterns' spans."""
+    found = secret_scan.scan(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+    def joined(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    def count(kind: str):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    base = F.filter("spans", lambda s: s["kind"] != "random")
+    return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(joined(base), 256).alias("base_sha256"), joined("spans").alias("spans"))
+
+
+def op3_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the sentences that repeated spans cover."""
+    return span_dedup.deduplicate(_table(spark, sf_dir, "documents")).select("doc_id", "text", "removed_words")
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents packed into sequences of 1024 tokens."""
+    return packing.pack(packing.pieces(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash fingerprints and near-duplicate components of documents."""
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
@@ -25,6 +50,9 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_secrets": op2_secrets,
+    "op3_spans": op3_spans,
+    "op4_packing": op4_packing,
     "op8_simhash": op8_simhash,
     "op10_bpe": op10_bpe,
 }
