@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, packing, secret_scan, simhash, span_dedup
+from tessera.llm import bpe, cross_polytope, fuzzy_hash, packing, secret_scan, simhash, span_dedup, url_rules
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,11 +39,31 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.pieces(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")))
 
 
+def op5_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Piecewise fingerprints of documents, of their edited texts, and both likenesses."""
+    return fuzzy_hash.neighbours(_table(spark, sf_dir, "documents"))
+
+
+# The rules that the query judges by.
+URL_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
+
+
+def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts of pages by URL rules."""
+    return url_rules.judge(_table(spark, sf_dir, "pages"), spark.createDataFrame(URL_RULES, "rule string, verdict string"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash fingerprints and near-duplicate components of documents."""
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op9_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest vectors found for every embedding whose id is divisible by 100."""
+    rows = _table(spark, sf_dir, "embeddings")
+    return cross_polytope.search(rows, rows.where("vec_id % 100 = 0"), k=10)
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """BPE ids and decoded text of documents, as digests."""
     return bpe.digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
@@ -53,8 +73,31 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_secrets": op2_secrets,
     "op3_spans": op3_spans,
     "op4_packing": op4_packing,
+    "op5_fuzzy": op5_fuzzy,
+    "op7_urls": op7_urls,
     "op8_simhash": op8_simhash,
+    "op9_polytope": op9_polytope,
     "op10_bpe": op10_bpe,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op7_urls": """
+        WITH parts AS (
+            SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
+        ), split AS (
+            SELECT page_id,
+                   translate(regexp_extract(coalesce(rest, ''), '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                   regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) AS path
+            FROM parts
+        ), rules(rule, host, path, verdict) AS (
+            VALUES ('net/', 'net', '/', 'block'), ('example.net/en/', 'example.net', '/en/', 'allow'),
+                   ('example.com/de/', 'example.com', '/de/', 'block'), ('org/fr/', 'org', '/fr/', 'allow')
+        ), fits AS (
+            SELECT s.*, r.rule, r.verdict,
+                   row_number() OVER (PARTITION BY s.page_id ORDER BY length(r.rule) DESC NULLS LAST) AS place
+            FROM split s LEFT JOIN rules r
+              ON (s.host = r.host OR ends_with(s.host, '.' || r.host)) AND starts_with(s.path, r.path)
+        )
+        SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM fits WHERE place = 1
+    """,
+}
