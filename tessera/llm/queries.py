@@ -8,13 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, cross_polytope, fuzzy_hash, packing, secret_scan, simhash, span_dedup, url_rules
+from tessera.llm import bpe, cross_polytope, fuzzy_hash, html_text, language, packing, secret_scan, simhash, span_dedup, url_rules
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The visible text of every page."""
+    return html_text.extract(_table(spark, sf_dir, "pages"))
+
+
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secret spans of documents, with a digest of the base patterns' spans."""
     found = secret_scan.scan(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
@@ -44,6 +49,13 @@ def op5_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fuzzy_hash.neighbours(_table(spark, sf_dir, "documents"))
 
 
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The predicted language of every document, learned from the labelled rows that aren't held out."""
+    documents = _table(spark, sf_dir, "documents")
+    found = language.predict(documents.select("doc_id", "text"), language.fit(documents))
+    return found.select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 # The rules that the query judges by.
 URL_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
 
@@ -70,10 +82,12 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_html": op1_html,
     "op2_secrets": op2_secrets,
     "op3_spans": op3_spans,
     "op4_packing": op4_packing,
     "op5_fuzzy": op5_fuzzy,
+    "op6_language": op6_language,
     "op7_urls": op7_urls,
     "op8_simhash": op8_simhash,
     "op9_polytope": op9_polytope,
