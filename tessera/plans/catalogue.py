@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import analytics, decide, knowledge, measure, scalars, sequences
+from tessera.plans import analytics, decide, edits, knowledge, measure, scalars, sequences, streams
 
-_MODULES = (decide, sequences, knowledge, measure, analytics, scalars)
+_MODULES = (decide, sequences, knowledge, measure, analytics, scalars, streams, edits)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLES: dict[str, str] = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}
