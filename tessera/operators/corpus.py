@@ -38,7 +38,7 @@ def average_ranks(rows: DataFrame, value: str, name: str, slices: int = 64) -> D
 def spearman(rows: DataFrame, x: str, y: str) -> DataFrame:
     """One row (n, rho): correlation of average ranks, 0 where either has no variance."""
     ranked = average_ranks(average_ranks(rows, x, "__rx"), y, "__ry")
-    return ranked.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.nanvl(F.corr("__rx", "__ry"), F.lit(0.0)), F.lit(0.0)).alias("rho"))
+    return ranked.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.try_divide(F.covar_pop("__rx", "__ry"), F.stddev_pop("__rx") * F.stddev_pop("__ry")), F.lit(0.0)).alias("rho"))
 
 
 def linspace_sample(rows: DataFrame, keys: Sequence[str], order: Sequence[str], n: int) -> DataFrame:

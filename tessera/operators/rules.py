@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.formula import compile_formula, unknown_names
+from tessera.functions.formula import compile_formula, names, unknown_names
 
 # Named priorities, parameters that count as exposure, the gates.
 PRIORITIES = {"user_locked": 10000, "user_lock": 10000, "user_preference": 9000, "high": 9000, "style_card": 6000, "medium": 6000, "system_default": 3000, "default": 3000, "low": 3000}
@@ -110,6 +110,7 @@ def action(rule: Rule, metrics: Mapping[str, Column], param: Column, iteration:
     if rule.formula is not None:
         variables = dict(metrics) | {"current": current, "metric": current, "metric_value": current, "param": param, "param_current": param, "value": F.lit(rule.value).cast("double")}
         variables["target"] = F.lit(float(rule.target)) if rule.target is not None else current
+        variables = dict.fromkeys(names(rule.formula), F.lit(None).cast("double")) | variables
         raw = compile_formula(rule.formula, variables)
     else:
         raw = F.lit(float(rule.value))

@@ -67,7 +67,7 @@ def style_cards(spark: SparkSession, folder: str) -> DataFrame:
 
 def cube_table(spark: SparkSession, path: str) -> DataFrame:
     """(i, r, g, b) of a text lookup table, in file order, comments and headers left out."""
-    text = spark.read.option("wholetext", "true").text(path)
+    text = spark.read.text(path, wholetext=True)
     rows = text.select(F.posexplode(F.filter(F.split("value", "\r?\n"), lambda line: line.rlike(r"^\s*[-+0-9.]"))).alias("i", "line"))
     numbers = F.transform(F.split(F.trim("line"), r"\s+"), lambda x: x.try_cast("double"))
     return rows.select("i", *[F.try_element_at(numbers, F.lit(k)).alias(c) for k, c in enumerate("rgb", 1)])
