@@ -10,11 +10,12 @@ from tessera.operators import measure
 from tessera.plans.tables import table
 
 #: 64 components are 8 x 8 values; components lie within -1..1 and are moved to 0..255 or 0..1.
-_PIXELS = "px AS (SELECT vec_id, (pos - 1) // 8 AS y, (pos - 1) % 8 AS x, CAST(embedding[pos] AS DOUBLE) * 300 + 127.5 AS v FROM embeddings, (SELECT unnest(range(1, 65)) AS pos))"
+PIXELS_SQL = "px AS (SELECT vec_id, (pos - 1) // 8 AS y, (pos - 1) % 8 AS x, CAST(embedding[pos] AS DOUBLE) * 300 + 127.5 AS v FROM embeddings, (SELECT unnest(range(1, 65)) AS pos))"
 RGB_SQL = "rgb AS (SELECT vec_id, n, greatest(0.0, least(1.0, CAST(embedding[3 * n + 1] AS DOUBLE) * 2 + 0.5)) AS r, greatest(0.0, least(1.0, CAST(embedding[3 * n + 2] AS DOUBLE) * 2 + 0.5)) AS g, greatest(0.0, least(1.0, CAST(embedding[3 * n + 3] AS DOUBLE) * 2 + 0.5)) AS b FROM embeddings, (SELECT unnest(range(0, 21)) AS n))"
 
 
-def _pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+def pixel_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(vec_id, y, x, v): each embedding as 8 x 8 values on 0..255."""
     rows = measure.pixels(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 8)
     return rows.withColumn("v", F.col("v") * 300 + 127.5)
 
@@ -34,35 +35,35 @@ def _channels():
 
 def image_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean, clipping and contrast per image."""
-    found = measure.image_stats(_pixels(spark, sf_dir), "vec_id")
+    found = measure.image_stats(pixel_rows(spark, sf_dir), "vec_id")
     return found.select("vec_id", *[F.round(c, 6).alias(c) for c in ("mean", "highlight", "shadow", "contrast")])
 
 
 def image_proxies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tonal range and haze per image."""
-    unit = _pixels(spark, sf_dir).withColumn("v", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("v") / 255)))
+    unit = pixel_rows(spark, sf_dir).withColumn("v", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("v") / 255)))
     return measure.proxies(unit, "vec_id").select("vec_id", F.round("tonal_range", 6).alias("tonal_range"), F.round("haze", 6).alias("haze"))
 
 
 def histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sixteen bins of pixel values per label."""
     labels = table(spark, sf_dir, "embeddings").select("vec_id", "label")
-    return measure.histogram(_pixels(spark, sf_dir).join(labels, "vec_id"), ["label"], "v", 0.0, 255.0, 16)
+    return measure.histogram(pixel_rows(spark, sf_dir).join(labels, "vec_id"), ["label"], "v", 0.0, 255.0, 16)
 
 
 def zone_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """3 x 3 zone means, row means and the whole."""
-    return measure.zones(_pixels(spark, sf_dir), "vec_id", 8, 8).withColumn("mean", F.round("mean", 5))
+    return measure.zones(pixel_rows(spark, sf_dir), "vec_id", 8, 8).withColumn("mean", F.round("mean", 5))
 
 
 def trimmed_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Means between the tenth and ninetieth percentile."""
-    return measure.trimmed_mean(_pixels(spark, sf_dir), "vec_id").withColumn("trimmed", F.round("trimmed", 5))
+    return measure.trimmed_mean(pixel_rows(spark, sf_dir), "vec_id").withColumn("trimmed", F.round("trimmed", 5))
 
 
 def gray_edge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sum of absolute forward differences per image."""
-    return measure.gradients(_pixels(spark, sf_dir), "vec_id").withColumn("edge", F.round("edge", 4))
+    return measure.gradients(pixel_rows(spark, sf_dir), "vec_id").withColumn("edge", F.round("edge", 4))
 
 
 def colorfulness(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,12 +73,12 @@ def colorfulness(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def kernel_box(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Local contrast over a 3 x 3 mean."""
-    return measure.local_contrast(_pixels(spark, sf_dir), "vec_id", 0.5, 1).select("vec_id", "y", "x", F.round("sharp", 5).alias("sharp"))
+    return measure.local_contrast(pixel_rows(spark, sf_dir), "vec_id", 0.5, 1).select("vec_id", "y", "x", F.round("sharp", 5).alias("sharp"))
 
 
 def kernel_guided(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Guided filter of each image by itself: mean and spread of the result."""
-    found = measure.guided_filter(_pixels(spark, sf_dir), "vec_id", 2, 400.0)
+    found = measure.guided_filter(pixel_rows(spark, sf_dir), "vec_id", 2, 400.0)
     return found.groupBy("vec_id").agg(F.round(F.avg("smooth"), 4).alias("mean"), F.round(F.stddev_pop("smooth"), 4).alias("spread"))
 
 
@@ -206,15 +207,15 @@ def _mean_of(source: str, target: str, value: str, name: str, radius: int) -> st
 
 
 ORACLES = {
-    "image_stats": f"WITH {_PIXELS} SELECT vec_id, round(avg(v), 6) AS mean, round(avg(CASE WHEN v >= 250 THEN 1.0 ELSE 0.0 END), 6) AS highlight, round(avg(CASE WHEN v <= 5 THEN 1.0 ELSE 0.0 END), 6) AS shadow, round(stddev_pop(v) / avg(v), 6) AS contrast FROM px GROUP BY vec_id",
-    "image_proxies": f"WITH {_PIXELS}, u AS (SELECT vec_id, greatest(0.0, least(1.0, v / 255)) AS v FROM px), p AS (SELECT vec_id, quantile_cont(v, 0.05) AS a, quantile_cont(v, 0.95) AS b FROM u GROUP BY vec_id) SELECT vec_id, round(b - a, 6) AS tonal_range, round(greatest(0.0, least(1.0, 1 - (b - a) / b)), 6) AS haze FROM p",
-    "measure_histogram": f"WITH {_PIXELS} SELECT label, CAST(least(floor(v / (255.0 / 16)), 15) AS INT) AS bin, count(*) AS n FROM px JOIN embeddings USING (vec_id) WHERE v BETWEEN 0 AND 255 GROUP BY ALL",
-    "zone_grid": f"WITH {_PIXELS}, z AS (SELECT vec_id, least(y // 2, 2) AS zy, least(x // 2, 2) AS zx, v FROM px) SELECT vec_id, zy, zx, round(avg(v), 5) AS mean FROM z GROUP BY GROUPING SETS ((vec_id, zy, zx), (vec_id, zy), (vec_id))",
-    "trimmed_mean": f"WITH {_PIXELS}, e AS (SELECT vec_id, quantile_cont(v, 0.1) AS a, quantile_cont(v, 0.9) AS b FROM px GROUP BY vec_id) SELECT vec_id, round(avg(v), 5) AS trimmed FROM px JOIN e USING (vec_id) WHERE v BETWEEN a AND b GROUP BY vec_id",
-    "gray_edge": f"WITH {_PIXELS}, d AS (SELECT vec_id, coalesce(abs(v - lag(v) OVER (PARTITION BY vec_id, y ORDER BY x)), 0) + coalesce(abs(v - lag(v) OVER (PARTITION BY vec_id, x ORDER BY y)), 0) AS d FROM px) SELECT vec_id, round(sum(d), 4) AS edge FROM d GROUP BY vec_id",
+    "image_stats": f"WITH {PIXELS_SQL} SELECT vec_id, round(avg(v), 6) AS mean, round(avg(CASE WHEN v >= 250 THEN 1.0 ELSE 0.0 END), 6) AS highlight, round(avg(CASE WHEN v <= 5 THEN 1.0 ELSE 0.0 END), 6) AS shadow, round(stddev_pop(v) / avg(v), 6) AS contrast FROM px GROUP BY vec_id",
+    "image_proxies": f"WITH {PIXELS_SQL}, u AS (SELECT vec_id, greatest(0.0, least(1.0, v / 255)) AS v FROM px), p AS (SELECT vec_id, quantile_cont(v, 0.05) AS a, quantile_cont(v, 0.95) AS b FROM u GROUP BY vec_id) SELECT vec_id, round(b - a, 6) AS tonal_range, round(greatest(0.0, least(1.0, 1 - (b - a) / b)), 6) AS haze FROM p",
+    "measure_histogram": f"WITH {PIXELS_SQL} SELECT label, CAST(least(floor(v / (255.0 / 16)), 15) AS INT) AS bin, count(*) AS n FROM px JOIN embeddings USING (vec_id) WHERE v BETWEEN 0 AND 255 GROUP BY ALL",
+    "zone_grid": f"WITH {PIXELS_SQL}, z AS (SELECT vec_id, least(y // 2, 2) AS zy, least(x // 2, 2) AS zx, v FROM px) SELECT vec_id, zy, zx, round(avg(v), 5) AS mean FROM z GROUP BY GROUPING SETS ((vec_id, zy, zx), (vec_id, zy), (vec_id))",
+    "trimmed_mean": f"WITH {PIXELS_SQL}, e AS (SELECT vec_id, quantile_cont(v, 0.1) AS a, quantile_cont(v, 0.9) AS b FROM px GROUP BY vec_id) SELECT vec_id, round(avg(v), 5) AS trimmed FROM px JOIN e USING (vec_id) WHERE v BETWEEN a AND b GROUP BY vec_id",
+    "gray_edge": f"WITH {PIXELS_SQL}, d AS (SELECT vec_id, coalesce(abs(v - lag(v) OVER (PARTITION BY vec_id, y ORDER BY x)), 0) + coalesce(abs(v - lag(v) OVER (PARTITION BY vec_id, x ORDER BY y)), 0) AS d FROM px) SELECT vec_id, round(sum(d), 4) AS edge FROM d GROUP BY vec_id",
     "colorfulness": f"WITH {RGB_SQL} SELECT vec_id, round((sqrt(var_pop(r - g) + var_pop(0.5 * (r + g) - b)) + 0.15 * (avg(abs(r - g)) + avg(abs(0.5 * (r + g) - b)))) / (sqrt(2.0) + 0.3) * 100, 5) AS colorfulness FROM rgb GROUP BY vec_id",
-    "kernel_box": f"WITH {_PIXELS}, {_mean_of('px', 'm', 'v', 'blurred', 1)} SELECT vec_id, y, x, round(v + 0.5 * (v - blurred), 5) AS sharp FROM m",
-    "kernel_guided": f"WITH {_PIXELS}, {_mean_of('px', 'm1', 'v', 'm', 2)}, {_mean_of('m1', 'm2', 'v * v', 'q', 2)}, f AS (SELECT vec_id, y, x, v, m, (q - m * m) / (q - m * m + 400.0) AS a FROM m2), h AS (SELECT *, m * (1 - a) AS b FROM f), {_mean_of('h', 'm3', 'a', 'ma', 2)}, {_mean_of('m3', 'm4', 'b', 'mb', 2)} SELECT vec_id, round(avg(ma * v + mb), 4) AS mean, round(stddev_pop(ma * v + mb), 4) AS spread FROM m4 GROUP BY vec_id",
+    "kernel_box": f"WITH {PIXELS_SQL}, {_mean_of('px', 'm', 'v', 'blurred', 1)} SELECT vec_id, y, x, round(v + 0.5 * (v - blurred), 5) AS sharp FROM m",
+    "kernel_guided": f"WITH {PIXELS_SQL}, {_mean_of('px', 'm1', 'v', 'm', 2)}, {_mean_of('m1', 'm2', 'v * v', 'q', 2)}, f AS (SELECT vec_id, y, x, v, m, (q - m * m) / (q - m * m + 400.0) AS a FROM m2), h AS (SELECT *, m * (1 - a) AS b FROM f), {_mean_of('h', 'm3', 'a', 'ma', 2)}, {_mean_of('m3', 'm4', 'b', 'mb', 2)} SELECT vec_id, round(avg(ma * v + mb), 4) AS mean, round(stddev_pop(ma * v + mb), 4) AS spread FROM m4 GROUP BY vec_id",
     "srgb_curve": f"WITH {RGB_SQL} SELECT vec_id, n, round({_dec('r')}, 6) AS decoded, round({encode_sql('g')}, 6) AS encoded, round(CASE WHEN b * 1.5 <= 0.9 THEN b * 1.5 ELSE 0.9 + (1 - 0.9) * tanh((b * 1.5 - 0.9) / (1 - 0.9)) END, 6) AS rolled FROM rgb",
     "oklab": f"WITH {_OK} SELECT vec_id, n, round(ok_l, 6) AS ok_l, round(ok_a, 6) AS ok_a, round(ok_b, 6) AS ok_b FROM ok",
     "oklab_round_trip": "SELECT vec_id, 0.0::DOUBLE AS error FROM embeddings",
