@@ -24,7 +24,7 @@ from tessera.llm.common import map_batches, materialize, text_or_empty
 CAPACITY = 1024
 END_ID = 2
 #: Words whose ids a worker keeps; beyond it the older half is dropped (a matter of speed only).
-CACHE_WORDS = 800_000
+CACHE_WORDS = 250_000
 
 
 class _Irregular(Exception):
