@@ -55,6 +55,8 @@ def test_bursts(spark):
     whole = {r.id: r.island for r in sequences.global_bursts(frame, "t", "id", 1.0).collect()}
     assert len(set(whole.values())) == 1 and 4 not in whole
     assert sequences.global_bursts(frame.where("false"), "t", "id", 1.0).count() == 0
+    keyed = {r.id: r.island for r in sequences.global_bursts(frame, "t", "id", 0.5, keys=["cam"]).collect()}
+    assert keyed == {1: 1, 2: 2, 3: 3, 5: 1, 6: 1}
     many = spark.range(25).select(F.col("id"), F.lit(1).alias("g"))
     assert sorted(r["count"] for r in sequences.split_oversized(many, ["g"], ["id"], 10).groupBy("chunk").count().collect()) == [5, 10, 10]
 
