@@ -6,12 +6,15 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Rows that a batch function gets at a time.
+SLICE = 1024
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from spark.checkpoint.dir.
 
@@ -39,27 +42,18 @@ def text_or_empty(column: str = "text") -> Column:
 
 
 def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """Apply a function to each Arrow batch of df; batches are bounded in rows and bytes by the session's Arrow settings."""
+    """Apply a function to slices of at most SLICE rows of df's Arrow batches, so that few texts are Python objects at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                out = function(batch)
+            for start in range(0, batch.num_rows, SLICE):
+                out = function(batch.slice(start, SLICE))
                 if out is not None:
                     yield out
 
     return df.mapInArrow(run, schema)
 
 
-def runs_of(keys: np.ndarray) -> list[tuple[int, int]]:
-    """(start, end) of each run of equal values in a sorted array."""
-    if not len(keys):
-        return []
-    cuts = np.flatnonzero(keys[1:] != keys[:-1]) + 1
-    edges = [0, *cuts.tolist(), len(keys)]
-    return list(zip(edges[:-1], edges[1:], strict=True))
-
-
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """Connected components of an undirected graph given by its edges (a, b): one row (node, root) per node, root the smallest node.
 
