@@ -142,12 +142,16 @@ def held_out(doc_id: Column) -> Column:
 def fit(documents: DataFrame, per_language: int = PER_LANGUAGE, max_rows: int = MAX_ROWS, landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model | None:
     """A model of text and lang of the rows that aren't held out; None if there are none with letters.
 
-    At most per_language rows of each language, chosen by a hash of doc_id, and at most max_rows in all. Rows with null
-    doc_id, text or lang are not learned from.
+    At most per_language rows of each language, chosen by a hash of doc_id, and at most max_rows rows and languages in all.
+    Large languages are thinned by the same hash before any row is ranked. Rows with null doc_id, text or lang are not learned
+    from.
     """
     rows = documents.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    shares = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_rows)
+    shares = shares.select("lang", F.least(F.lit(1.0), F.lit(4.0 * per_language) / F.col("count")).alias("share"))
+    thinned = rows.select(F.col("doc_id").alias("picked_id"), "lang").join(F.broadcast(shares), "lang").where(F.pmod(F.xxhash64("picked_id"), F.lit(1 << 20)) < F.col("share") * (1 << 20))
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("picked_id"), "picked_id"))
-    picked = rows.select(F.col("doc_id").alias("picked_id"), "lang").withColumn("place", place).where(F.col("place") <= per_language)
+    picked = thinned.select("picked_id", "lang", place.alias("place")).where(F.col("place") <= per_language)
     picked = picked.orderBy("place", "lang").limit(max_rows).select("picked_id", "place")
     texts = rows.where("text is not null").join(F.broadcast(picked), F.col("doc_id") == F.col("picked_id")).select("lang", "text", "place", "doc_id")
 
