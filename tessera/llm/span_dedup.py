@@ -22,10 +22,10 @@ from tessera.llm.common import map_batches, materialize, text_or_empty
 
 #: A run has at least this many sentences and this many words, and is the shortest such from its first sentence.
 MIN_SENTENCES = 2
-MIN_WORDS = 20
+MIN_WORDS = 12
 #: Words of at least this many bytes end a sentence.
 LONG_WORD = 12
-MARKS = frozenset(b".!?;:")
+MARKS = frozenset(b".!?;:,")
 #: Stands for a null doc_id in keys: such rows come last.
 NO_ID = (1 << 63) - 1
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
