@@ -1,9 +1,9 @@
 """Secret scan: fixed patterns, and a token-efficiency test for random strings.
 
 Ordinary words and identifiers take few tokens for their length under a byte-pair vocabulary; random strings take many. A
-candidate (a long run of letters, digits and a few signs that mixes letters with digits) whose characters per token fall
-below a threshold is reported, unless it is a known digest (hexadecimal of a digest's length), a UUID, a path, a dotted
-name or overlaps a span of the fixed patterns.
+candidate (a run of 16 or more letters, digits and a few signs) whose characters per token fall below a threshold is
+reported, unless it is a known digest (hexadecimal of a digest's length), a UUID, a path or name whose own segments each take
+few tokens, or overlaps a span of the fixed patterns. A random segment of 16 or more characters is reported in any path.
 """
 
 from __future__ import annotations
@@ -27,14 +27,18 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 HINTS = ("passw", "secret", "token", "api")
 
 #: Candidates of the token-efficiency test and its threshold.
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 MAX_CHARS_PER_TOKEN = 1.9
+#: A path or name is cut at these signs; shorter segments than this, and numbers, tell nothing.
+SEGMENT = re.compile(r"[A-Za-z0-9]+")
+LEAST_SEGMENT = 4
+#: From this length on a segment counts by itself; shorter ones must make up this share of a path or name.
+LONG_SEGMENT = 16
+COSTLY_SHARE = 0.5
 #: Hexadecimal lengths of MD5, SHA-1, SHA-224, SHA-256, SHA-384 and SHA-512.
 DIGESTS = frozenset((32, 40, 56, 64, 96, 128))
 HEX_ONLY = re.compile(r"[0-9a-f]+|[0-9A-F]+")
-UUID = re.compile(r"[0-9A-Fa-f]{8}-(?:[0-9A-Fa-f]{4}-){3}[0-9A-Fa-f]{12}")
-MIXED = re.compile(r"(?=.*[0-9])(?=.*[A-Za-z])")
-DIGIT_RUN = re.compile(r"[0-9]")
+UUID = re.compile(r"(?<![A-Za-z0-9])[0-9A-Fa-f]{8}-(?:[0-9A-Fa-f]{4}-){3}[0-9A-Fa-f]{12}(?![A-Za-z0-9])")
 
 
 @functools.cache
@@ -63,17 +67,27 @@ def random_spans(text: str, base: list[tuple[int, int, int]], path: str) -> list
     spans = []
     for m in CANDIDATE.finditer(text):
         word = m.group()
-        if not MIXED.match(word) or UUID.search(word) or (len(word) in DIGESTS and HEX_ONLY.fullmatch(word)):
-            continue
         if any(s < m.end() and m.start() < e for s, _, e in base):
             continue
-        if word.count("/") > 2 or "--" in word or "__" in word or len(DIGIT_RUN.findall(word)) < 3:
-            continue
-        if len(word) < MAX_CHARS_PER_TOKEN * len(_encoding(path).encode_ordinary(word)):
+        costly = [len(part) for part in _costly_segments(word, path)]
+        if costly and (max(costly) >= LONG_SEGMENT or (sum(costly) >= COSTLY_SHARE * len(word) and _costly(word, path))):
             spans.append((m.start(), 3, m.end()))
     return spans
 
 
+def _costly(word: str, path: str) -> bool:
+    return len(word) < MAX_CHARS_PER_TOKEN * len(_encoding(path).encode_ordinary(word))
+
+
+def _costly_segments(word: str, path: str) -> list[str]:
+    """The segments of a word that take many tokens; whole-word UUIDs, digests, numbers and short segments don't count."""
+    return [
+        part
+        for part in SEGMENT.findall(UUID.sub("/", word))
+        if len(part) >= LEAST_SEGMENT and not part.isdigit() and not (len(part) in DIGESTS and HEX_ONLY.fullmatch(part)) and _costly(part, path)
+    ]
+
+
 def find(text: str, path: str) -> list[tuple[int, int, int]]:
     """All spans of a text as (start, kind number, end) in code points, by start and then kind."""
     base = base_spans(text)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import string
 
 import numpy as np
 import public_tokenizers
@@ -162,6 +163,23 @@ def test_secrets(documents, empty):
     assert clean[7] == "[secret]' [secret]" and clean[1] is None and clean[3] == LONG
 
 
+@pytest.mark.parametrize("signs", ["", "+/", "-_", None])
+def test_random_strings_are_secrets(signs):
+    generator = random.Random(17)
+    letters = string.ascii_letters + ("" if signs is None else string.digits + signs)
+    for length in (16, 20, 24, 32, 40, 64, 128, 300):
+        texts = ["".join(generator.choices(letters, k=length)) for _ in range(300)]
+        hit = sum(any(k == 3 for _, k, _ in secret_scan.find(f"key is {t} end", RANKS)) for t in texts)
+        assert hit / len(texts) >= 0.97, length
+
+
+def test_names_and_paths_are_no_secrets():
+    clean = "/usr/local/share/documentation/index LARGE_SCALE_REL_TOL src/pixo/render/core/rp_ccm make_srgb_eotf_lut x--long-option__name /users/123e4567-e89b-12d3-a456-426614174000/posts 2024-01-15/10-30-00/12345678 ================ " + "AB12" * 16
+    assert secret_scan.find(clean, RANKS) == []
+    hidden = "services/documents/archive/q7Zk2LmX9vB4nR8sT1wYp3"
+    assert [k for _, k, _ in secret_scan.find(hidden, RANKS)] == [3]
+
+
 def test_span_dedup(spark, documents, empty):
     generator = random.Random(11)
 
