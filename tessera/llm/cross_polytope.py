@@ -2,7 +2,8 @@
 
 Unit vectors are turned by pseudo-rotations (three rounds of random signs and a fast Hadamard transform) and assigned to the
 nearest signed axis; each of several tables has its own rotation. A query probes the axes nearest to it in every table, and
-all vectors found there are ranked exactly, in double precision on the original vectors.
+all vectors found there are ranked exactly, in double precision on the original vectors. A query that finds fewer than k is
+ranked against all vectors instead, so that small tables and outliers lose nothing.
 
 Every row is indexed. A bucket is split into blocks of bounded size, for vectors and for queries alike, by counts taken
 beforehand, and each pair of blocks is one small matrix product that gives at most k rows per query; no pair of vectors
@@ -125,7 +126,7 @@ def _nearest(queries: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, id
 
 
 def search(rows: DataFrame, queries: DataFrame, k: int = 10, tables: int = TABLES, probes: int = PROBES) -> DataFrame:
-    """(query_id, rank, vec_id, score): for each query its k nearest rows found, by Euclidean distance, ties to the smaller vec_id.
+    """(query_id, rank, vec_id, score): for each query its k nearest rows found, all if there are fewer, by Euclidean distance, ties to the smaller vec_id.
 
     rows and queries have (vec_id, embedding). A row with a query's own vec_id is no candidate of it. Vectors that are null,
     zero or hold null or non-finite components, and rows without vec_id, take no part; vectors of other lengths than the
@@ -136,6 +137,19 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 10, tables: int = TABLE
     distinct = vectors.withColumn("place", F.row_number().over(alike)).where(F.col("place") <= k + 1).drop("place")
     hashed = _hashed(distinct, 1, tables, False).unionByName(_hashed(usable(queries), probes, tables, True))
     hashed = materialize(hashed, "polytope")
+    answers = materialize(_ranked(hashed, k), "polytope-answers")
+    first = hashed.where(F.col("cell") < (1 << 32))
+    full = answers.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"))
+    short = first.where("kind = 1").join(full, "vec_id", "left_anti").select(hashed.columns).dropDuplicates(["vec_id", "embedding"])
+    short = materialize(short, "polytope-short")
+    if short.isEmpty():
+        return answers
+    exact = _ranked(first.where("kind = 0").unionByName(short).withColumn("cell", F.lit(0).cast("long")), k)
+    return answers.join(full.withColumnRenamed("vec_id", "query_id"), "query_id", "left_semi").select(answers.columns).unionByName(exact)
+
+
+def _ranked(hashed: DataFrame, k: int) -> DataFrame:
+    """(query_id, rank, vec_id, score): for each query the k nearest of the vectors that share a cell with it."""
     counts = hashed.groupBy("dims", "cell").agg(F.sum(1 - F.col("kind")).alias("n"), F.sum("kind").alias("q")).where("n > 0 and q > 0")
     counts = materialize(counts.select("dims", "cell", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts"), F.ceil(F.col("q") / BLOCK).cast("int").alias("groups")), "polytope-counts")
     salt = F.xxhash64("vec_id", "cell")

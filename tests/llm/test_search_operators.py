@@ -74,6 +74,39 @@ def test_cross_polytope(spark, monkeypatch):
     assert cross_polytope.search(frame.where("false"), frame.where("false")).count() == 0
 
 
+def _exact(rows, query, k):
+    """The k nearest ids of a query (vec_id, vector), each id once with its nearest vector."""
+    found = {}
+    for i, v in rows:
+        if i != query[0] and len(v) == len(query[1]):
+            d = float(np.sqrt(((np.array(v) - query[1]) ** 2).sum()))
+            found[i] = min(d, found.get(i, np.inf))
+    return [i for i, _ in sorted(found.items(), key=lambda x: (x[1], x[0]))[:k]]
+
+
+def _answers(found):
+    answers: dict[int, list] = {}
+    for r in sorted(found, key=lambda r: (r.query_id, r["rank"])):
+        assert r["rank"] == len(answers.setdefault(r.query_id, [])) + 1
+        answers[r.query_id].append(r.vec_id)
+    return answers
+
+
+@pytest.mark.parametrize("block", [4096, 16])
+def test_cross_polytope_answers_in_full(spark, monkeypatch, block):
+    """Small tables, and a query opposite the only cluster, get min(k, candidates) answers."""
+    monkeypatch.setattr(cross_polytope, "BLOCK", block)
+    generator = np.random.default_rng(8)
+    centre = np.zeros(64)
+    centre[:8] = 5.0
+    small = [(i, v.tolist()) for i, v in enumerate(generator.normal(size=(11, 64)))] + [(50, [1.0, 2.0]), (51, [2.0, 2.0])]
+    cluster = [(i, (centre + 0.01 * v).tolist()) for i, v in enumerate(generator.normal(size=(300, 64)))] + [(1000, (-centre).tolist())]
+    for rows, ask in ((small, [0, 7, 50]), (cluster, [1000])):
+        frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+        answers = _answers(cross_polytope.search(frame, frame.where(F.col("vec_id").isin(ask)), k=10).collect())
+        assert answers == {i: _exact(rows, (i, v), 10) for i, v in rows if i in ask}
+
+
 @pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no test tables")
 def test_pipeline_against_plain_python(spark):
     """Each stage's effect, by a plain version of its decision on the stage's own input."""
