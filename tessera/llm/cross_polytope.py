@@ -7,8 +7,9 @@ ranked against all vectors instead, so that small tables and outliers lose nothi
 
 Every row is indexed. A bucket is split into blocks of bounded size, for vectors and for queries alike, by counts taken
 beforehand, and each pair of blocks is one small matrix product that gives at most k rows per query; no pair of vectors
-leaves a task unless it is among the k nearest that the task has seen for its query. Of equal vectors only the k+1 smallest
-ids can be among the nearest, so the rest need no comparison; this changes no result.
+leaves a task unless it is among the k nearest that the task has seen for its query. Repeated rows count
+once; of equal vectors only the k+1 smallest ids can be among the nearest, so the rest need no comparison; this changes no
+result.
 """
 
 from __future__ import annotations
@@ -97,7 +98,9 @@ def _hashed(rows: DataFrame, probes: int, tables: int, query: bool) -> DataFrame
 
 
 def _nearest(queries: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, ids: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(query_id, vec_ids, distances) of the k nearest rows: a matrix product selects, differences decide."""
+    """(query_id, vec_ids, distances) of the k nearest ids, each with its nearest row: a matrix product selects, differences decide."""
+    by_id = np.argsort(ids, kind="stable")
+    starts = np.flatnonzero(np.concatenate([[True], ids[by_id][1:] != ids[by_id][:-1]]))
     with np.errstate(over="ignore", invalid="ignore"):
         squares = (vectors * vectors).sum(axis=1)
     for start in range(0, len(queries), 256):
@@ -112,7 +115,8 @@ def _nearest(queries: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, id
                 chosen = np.flatnonzero(others)
             else:
                 values = np.where(others, rough[row], np.inf)
-                bound = np.partition(values, k - 1)[k - 1] if len(values) > k else np.inf
+                least = values if len(starts) == len(ids) else np.minimum.reduceat(values[by_id], starts)
+                bound = np.partition(least, k - 1)[k - 1] if len(least) > k else np.inf
                 chosen = np.flatnonzero(others & (values <= bound + slack[row]))
             if len(chosen):
                 differs = vectors[chosen] - block[row]
@@ -121,7 +125,8 @@ def _nearest(queries: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, id
                     exact = np.sqrt((differs * differs).sum(axis=1))
                 if not np.isfinite(exact).all():
                     exact = scale * np.sqrt(((differs / scale) ** 2).sum(axis=1))
-                order = np.lexsort((ids[chosen], exact))[:k]
+                order = np.lexsort((ids[chosen], exact))
+                order = order[np.sort(np.unique(ids[chosen][order], return_index=True)[1])][:k]
                 yield int(query_ids[start + row]), ids[chosen][order], exact[order]
 
 
@@ -132,7 +137,7 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 10, tables: int = TABLE
     zero or hold null or non-finite components, and rows without vec_id, take no part; vectors of other lengths than the
     query's are no candidates. A vec_id that repeats answers once, with its nearest vector.
     """
-    vectors = usable(rows)
+    vectors = usable(rows).dropDuplicates(["vec_id", "embedding"])
     alike = Window.partitionBy("embedding").orderBy("vec_id")
     distinct = vectors.withColumn("place", F.row_number().over(alike)).where(F.col("place") <= k + 1).drop("place")
     hashed = _hashed(distinct, 1, tables, False).unionByName(_hashed(usable(queries), probes, tables, True))

@@ -107,6 +107,18 @@ def test_cross_polytope_answers_in_full(spark, monkeypatch, block):
         assert answers == {i: _exact(rows, (i, v), 10) for i, v in rows if i in ask}
 
 
+def test_cross_polytope_repeated_ids(spark):
+    """Repeated rows, and an id with many vectors, push no other id out."""
+    generator = np.random.default_rng(9)
+    vector = generator.normal(size=16)
+    same = [(1, vector.tolist())] * 40 + [(i, vector.tolist()) for i in range(2, 20)]
+    many = [(1, (vector + 1e-6 * v).tolist()) for v in generator.normal(size=(40, 16))] + [(i, (vector + 1e-3 * v).tolist()) for i, v in enumerate(generator.normal(size=(18, 16)), 2)]
+    for rows in (same, many):
+        frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+        asked = spark.createDataFrame([(100, vector.tolist())], frame.schema)
+        assert _answers(cross_polytope.search(frame, asked, k=10).collect()) == {100: _exact(rows, (100, vector), 10)}
+
+
 @pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no test tables")
 def test_pipeline_against_plain_python(spark):
     """Each stage's effect, by a plain version of its decision on the stage's own input."""
