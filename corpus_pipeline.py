@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import language, packing, secret_scan, simhash, span_dedup
+from tessera.llm import language, near_copies, packing, secret_scan, simhash, span_dedup
 from tessera.llm.common import materialize
 
 #: Rows below this score are in none of the learned languages: a text that shares no n-gram with any landmark scores 0.25 among
@@ -30,8 +30,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies keep the document with the smallest doc_id."""
-    return simhash.keep_first(docs)
+    """Of each group of near copies keep the document with the smallest doc_id: first by SimHash, then at a five-word Jaccard of 0.8."""
+    return near_copies.keep_first(materialize(simhash.keep_first(docs), "near-dedup"))
 
 
 def drop_repeated_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,7 +12,8 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tessera.llm import bpe, fuzzy_hash, html_text, language, packing, secret_scan, simhash, span_dedup
+import corpus_pipeline
+from tessera.llm import bpe, fuzzy_hash, html_text, language, near_copies, packing, secret_scan, simhash, span_dedup
 
 WORD = public_tokenizers.path("word_bpe_49k.json")
 BYTE = public_tokenizers.path("byte_bpe_50k.json")
@@ -180,6 +181,34 @@ def test_names_and_paths_are_no_secrets():
     assert [k for _, k, _ in secret_scan.find(hidden, RANKS)] == [3]
 
 
+@pytest.mark.parametrize("limit", [2, 32])
+def test_pipeline_drops_near_copies(spark, documents, empty, monkeypatch, limit):
+    """Of exact, near (five-word Jaccard from 0.8) and less similar texts, no near pair stays and nothing else goes."""
+    monkeypatch.setattr(near_copies, "BUCKET_LIMIT", limit)
+    generator = random.Random(23)
+    texts = []
+    for _ in range(30):
+        words = ["".join(generator.choices("abcdefghij", k=5)) for _ in range(200)]
+        for edits in (0, 1, 2, 3, 4, 12, 40):
+            own = words[:]
+            for at in generator.sample(range(200), edits):
+                own[at] = "changed"
+            texts.append(" ".join(own))
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    kept = sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, frame, "").collect())
+    sets = [set(near_copies.shingles(t).tolist()) for t in texts]
+
+    def near(a, b):
+        return len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+
+    assert not [(a, b) for a in kept for b in kept if a < b and near(a, b)]
+    prints = [simhash.fingerprint(t) for t in texts]
+    assert all(i in kept or any(near(i, j) for j in range(i)) or any((prints[i] ^ p).bit_count() <= 2 for j, p in enumerate(prints) if j != i) for i in range(len(texts)))
+    assert 30 < len(kept) < 180
+    assert near_copies.keep_first(empty).count() == 0
+    assert sorted(str(r.doc_id) for r in near_copies.keep_first(documents).collect()) == sorted(str(r[0]) for r in ROWS)
+
+
 def test_span_dedup(spark, documents, empty):
     generator = random.Random(11)
 
