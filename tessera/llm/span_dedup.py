@@ -102,47 +102,48 @@ def remove(text: str, covered: np.ndarray) -> tuple[str, int]:
     return b"".join(keep).decode(), gone
 
 
-def _tag(text: str) -> int:
-    """31 bits of a text's hash, which keep apart texts that share a doc_id."""
-    return xxhash.xxh64_intdigest(text.encode()) >> 33
-
-
 def occurrences(documents: DataFrame) -> DataFrame:
-    """(key, at, sentences, hash) of every run: key is doc_id, at holds the text's tag and the first sentence's number."""
+    """(key, mark, at, sentences, hash) of every run: key is doc_id, mark the text's hash, at the first sentence's number."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        keys = batch.column(0).to_numpy()
-        out: list[list[np.ndarray]] = [[], [], [], []]
-        for key, text in zip(keys, batch.column(1).to_pylist(), strict=True):
+        keys, marks = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        out: list[list[np.ndarray]] = [[], [], [], [], []]
+        for key, mark, text in zip(keys, marks, batch.column(2).to_pylist(), strict=True):
             found, first, count = runs(text)
             if len(found):
                 out[0].append(np.full(len(found), key))
-                out[1].append(first + (_tag(text) << 32))
-                out[2].append(count.astype(np.int32))
-                out[3].append(found)
+                out[1].append(np.full(len(found), mark))
+                out[2].append(first.astype(np.int32))
+                out[3].append(count.astype(np.int32))
+                out[4].append(found)
         if not out[0]:
             return None
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], ["key", "at", "sentences", "hash"])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], ["key", "mark", "at", "sentences", "hash"])
 
-    return map_batches(documents.select(_key(), text_or_empty().alias("text")), run, "key long, at long, sentences int, hash long")
+    return map_batches(documents.select(_key(), _mark(), text_or_empty().alias("text")), run, "key long, mark long, at int, sentences int, hash long")
 
 
 def _key():
     return F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("key")
 
 
+def _mark():
+    """64 bits of a text's hash, which keep apart texts that share a doc_id or have none."""
+    return F.xxhash64(text_or_empty()).alias("mark")
+
+
 def covered_runs(documents: DataFrame) -> DataFrame:
-    """(key, runs array<struct<at, sentences>>): per document the repeated runs that aren't the corpus's first.
+    """(key, mark, runs array<struct<at, sentences>>): per document the repeated runs that aren't the corpus's first.
 
-    First is by doc_id (null last), then text tag and position. The list of a document is bounded by its own length.
+    First is by doc_id (null last), then text hash and position. A list holds the runs of one text, each once.
     """
     found = materialize(occurrences(documents), "span-runs")
     repeated = materialize(found.groupBy("hash").count().where("count > 1").select("hash"), "span-hashes")
     shared = materialize(found.join(repeated, "hash"), "span-shared")
-    firsts = shared.groupBy("hash").agg(F.min(F.struct("key", "at")).alias("first"))
-    firsts = materialize(firsts.select("hash", F.col("first.key").alias("first_key"), F.col("first.at").alias("first_at")), "span-firsts")
-    later = shared.join(firsts, "hash").where("key <> first_key or at <> first_at")
-    return later.groupBy("key").agg(F.collect_list(F.struct("at", "sentences")).alias("runs"))
+    firsts = shared.groupBy("hash").agg(F.min(F.struct("key", "mark", "at")).alias("first"))
+    firsts = materialize(firsts.select("hash", F.col("first.key").alias("first_key"), F.col("first.mark").alias("first_mark"), F.col("first.at").alias("first_at")), "span-firsts")
+    later = shared.join(firsts, "hash").where("key <> first_key or mark <> first_mark or at <> first_at")
+    return later.groupBy("key", "mark").agg(F.collect_set(F.struct("at", "sentences")).alias("runs"))
 
 
 def deduplicate(documents: DataFrame) -> DataFrame:
@@ -153,8 +154,8 @@ def deduplicate(documents: DataFrame) -> DataFrame:
     """
     names = [c for c in documents.columns if c != "removed_words"]
     plain = documents.select(*[F.col(f"`{c}`") for c in names])
-    runs_of_key = covered_runs(documents).select(F.col("key").alias("__key"), F.col("runs").alias("__runs"))
-    joined = plain.withColumn("__own", _key().alias("__own")).join(runs_of_key, F.col("__own") == F.col("__key"), "left").drop("__own", "__key")
+    runs_of_text = covered_runs(documents).toDF("__key", "__mark", "__runs")
+    joined = plain.withColumn("__key", _key()).withColumn("__mark", _mark()).join(runs_of_text, ["__key", "__mark"], "left").drop("__key", "__mark")
     schema = plain.withColumn("removed_words", F.lit(0).cast("long")).schema
     position = names.index("text")
 
@@ -163,13 +164,10 @@ def deduplicate(documents: DataFrame) -> DataFrame:
         removed = np.zeros(len(texts), np.int64)
         for row, found in enumerate(batch.column(len(names)).to_pylist()):
             if found and texts[row]:
-                tag = _tag(texts[row])
-                mine = [(r["at"] & 0xFFFFFFFF, r["sentences"]) for r in found if r["at"] >> 32 == tag]
-                if mine:
-                    covered = np.zeros(max(a + n for a, n in mine) + len(sentences(texts[row])[1]), bool)
-                    for a, n in mine:
-                        covered[a : a + n] = True
-                    texts[row], removed[row] = remove(texts[row], covered)
+                covered = np.zeros(len(sentences(texts[row])[1]), bool)
+                for r in found:
+                    covered[r["at"] : r["at"] + r["sentences"]] = True
+                texts[row], removed[row] = remove(texts[row], covered)
         columns = [batch.column(k) for k in range(len(names))]
         columns[position] = pa.array(texts, columns[position].type)
         return pa.RecordBatch.from_arrays([*columns, pa.array(removed)], [*names, "removed_words"])

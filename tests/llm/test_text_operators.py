@@ -9,6 +9,7 @@ import string
 import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -230,6 +231,25 @@ def test_span_dedup(spark, documents, empty):
     assert span_dedup.deduplicate(empty).count() == 0
 
 
+def test_span_dedup_null_ids(spark):
+    """Rows without id are told apart by their whole text hash, and a list of runs holds one text's only."""
+    passage = "alpha beta gamma delta epsilon zeta eta. theta iota kappa lambda mu nu xi."
+    clean = "one two three four five six seven. eight nine ten eleven twelve thirteen fourteen."
+
+    def tag(text):
+        return xxhash.xxh64_intdigest(text.encode()) >> 33
+
+    tags = {tag(f"{clean} {i}"): i for i in range(150_000)}
+    other = next(i for i in range(1_000_000) if tag(f"{passage} {i}") in tags)
+    same = tags[tag(f"{passage} {other}")]
+    rows = [(1, passage), (None, f"{clean} {same}"), (None, f"{passage} {other}"), *[(None, f"{passage} {i} b") for i in range(40)], *[(None, f"{passage} c")] * 40]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    found = sorted((r.text, r.removed_words) for r in span_dedup.deduplicate(frame).collect())
+    expected = [(passage, 0), (f"{clean} {same}", 0), (f"{other}", 14), *[(f"{i} b", 14) for i in range(40)], *[("c", 14)] * 40]
+    assert [(t.strip(), n) for t, n in found] == sorted(expected, key=lambda r: next(k for k, (t, _) in enumerate(found) if t.strip() == r[0]))
+    assert max(len(r.runs) for r in span_dedup.covered_runs(frame).collect()) <= 3
+
+
 def test_language(spark, documents, empty):
     generator = random.Random(5)
     words = {"aa": ["thing", "other", "with", "the"], "bb": ["zucker", "straße", "über", "ich"], "cc": ["ñandú", "cuando", "perro", "está"]}
