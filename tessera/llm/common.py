@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,12 +19,14 @@ SLICE = 1024
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from spark.checkpoint.dir.
 
-    Only where that setting is absent (tests in one JVM) is a temporary folder made and set.
+    Only where that setting is absent and all runs in one JVM (a local master) is a temporary folder made and set.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         path = spark.conf.get("tessera.shared.dir", None)
     if not path:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="spark-tessera-")
         spark.conf.set("tessera.shared.dir", path)
     return path.rstrip("/")
@@ -36,6 +39,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def unused(names: Iterable[str], base: str) -> str:
+    """A column name made of base that none of names equals, in any case of letters."""
+    taken = {n.lower() for n in names}
+    name = f"__{base}"
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def text_or_empty(column: str = "text") -> Column:
     """Null text counts as empty text."""
     return F.coalesce(F.col(column), F.lit(""))

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import map_batches, materialize, text_or_empty
+from tessera.llm.common import map_batches, materialize, text_or_empty, unused
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -128,5 +128,6 @@ def keep_first(documents: DataFrame) -> DataFrame:
     gone = near if gone is None else gone.unionByName(near)
     stay = items.select("id", "mark").join(gone, ["id", "mark"], "left_anti")
     drop = materialize(prints.select("id", "mark").join(stay, ["id", "mark"], "left_anti").distinct(), "copies-gone")
-    marked = documents.withColumn("__id", _id()).withColumn("__mark", _mark())
-    return marked.join(drop.toDF("__id", "__mark"), ["__id", "__mark"], "left_anti").select(*[F.col(f"`{c}`") for c in documents.columns])
+    own_id, own_mark = unused(documents.columns, "id"), unused(documents.columns, "mark")
+    marked = documents.withColumn(own_id, _id()).withColumn(own_mark, _mark())
+    return marked.join(drop.toDF(own_id, own_mark), [own_id, own_mark], "left_anti").select(*[F.col(f"`{c}`") for c in documents.columns])

@@ -3,13 +3,17 @@
 A 64-bit fingerprint is the majority vote of the XXH64 values of a text's word shingles. Fingerprints link at 2 or fewer
 differing bits. The pigeonring principle: with three segments in a ring and two differing bits in all, some segment starts a
 chain whose cumulative differences stay within the proportional budgets floor(2*1/3)=0, floor(2*2/3)=1, 2. The ring is used
-twice, over the whole word and then over the bits outside the starting segment, so a candidate shares about 36 bits; each
-chain is tested before the full Hamming check. Buckets over a documented size are resolved exactly by radius-one balls: two
-words differ in at most two bits just if some word lies within one bit of both, and at most 65 words lie in such a ball.
+again over the bits outside the starting segments found so far: twice for all, so a candidate shares about 36 bits, and again
+for each bucket of fingerprints that is still large, down to rings of so few bits that no bucket can be. Each chain is tested
+before the full Hamming check.
+
+Texts of any length are read whole.
 """
 
 from __future__ import annotations
 
+import functools
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,37 +24,43 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from tessera.llm.common import components, map_batches, materialize, text_or_empty
+from tessera.llm.common import components, map_batches, materialize, text_or_empty, unused
 
 BITS = 64
 MAX_DISTANCE = 2
-#: Buckets of more fingerprints than this are resolved by balls, so that the quadratic check of a bucket stays bounded.
+#: Buckets of more fingerprints than this go through another ring.
 BUCKET_LIMIT = 1024
-#: Widths of the three segments of the ring, from the most significant bit.
-OUTER = (22, 21, 21)
+#: Rings that every fingerprint goes through.
+RINGS = 2
+
 
+def ring(free: list[int], start: int) -> tuple[list[int], list[int], list[int]]:
+    """Three segments of the free bits (numbered from the most significant), from segment number `start` round."""
+    third = len(free) // 3
+    cut = (len(free) - 2 * third, len(free) - third)
+    parts = (free[: cut[0]], free[cut[0] : cut[1]], free[cut[1] :])
+    return parts[start], parts[(start + 1) % 3], parts[(start + 2) % 3]
 
-def _mask(start: int, width: int) -> int:
-    """Bits start .. start+width (from the most significant, round the ring) as a 64-bit mask."""
-    return sum(1 << (BITS - 1 - (start + k) % BITS) for k in range(width))
 
+def _mask(bits: list[int]) -> int:
+    return sum(1 << (BITS - 1 - b) for b in bits)
 
-def _rings() -> list[dict[str, int]]:
-    """For each outer and inner starting segment: masks of the key, of both chains of two, and of all."""
-    rings = []
-    for i in range(3):
-        at = sum(OUTER[:i])
-        rest = BITS - OUTER[i]
-        inner = (rest - 2 * (rest // 3), rest // 3, rest // 3)
-        outer_two = _mask(at, OUTER[i]) | _mask(at + OUTER[i], OUTER[(i + 1) % 3])
-        for j in range(3):
-            starts = [at + OUTER[i] + sum(inner[:k]) for k in range(3)]
-            segment = [_mask(starts[k], inner[k]) for k in range(3)]
-            rings.append({"key": _mask(at, OUTER[i]) | segment[j], "outer_two": outer_two, "inner_two": segment[j] | segment[(j + 1) % 3]})
-    return rings
 
+@functools.cache
+def masks(path: tuple[int, ...]) -> tuple[int, tuple[int, ...]]:
+    """Of the rings with these starting segments: the mask of all starting segments (the key), and of each ring's chain of two."""
+    free, key, chains = list(range(BITS)), 0, []
+    for start in path:
+        first, second, _ = ring(free, start)
+        key |= _mask(first)
+        chains.append(_mask(first + second))
+        free = [b for b in free if b not in first]
+    return key, tuple(chains)
 
-RINGS = _rings()
+
+def paths(depth: int) -> list[tuple[int, ...]]:
+    """The starting segments of `depth` rings, in the order of their numbers in base three."""
+    return list(itertools.product(range(3), repeat=depth))
 
 
 def _signed(value: int) -> int:
@@ -88,28 +98,26 @@ def fingerprints(documents: DataFrame, words: int = 3) -> DataFrame:
     return map_batches(documents.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")), run, "doc_id long, fp long")
 
 
-def _bucket_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (ring, key, fp) sorted by (ring, key): a spanning forest of the links of each bucket.
+def _bucket_links(depth: int):
+    """A batch function: rows (path, key, fp) sorted by (path, key) to a spanning forest of the links of each bucket.
 
     A bucket has at most BUCKET_LIMIT rows, so what is held between batches is bounded.
     """
-    rest: pa.Table | None = None
 
     def solve(table: pa.Table) -> pa.RecordBatch:
-        ring, key = table.column("ring").to_numpy(), table.column("key").to_numpy()
+        path, key = table.column("path").to_numpy(), table.column("key").to_numpy()
         fps = table.column("fp").to_numpy().view(np.uint64)
-        same = np.stack([ring.astype(np.int64), key], axis=1)
+        same = np.stack([path.astype(np.int64), key], axis=1)
         edges = [0, *(np.flatnonzero((same[1:] != same[:-1]).any(axis=1)) + 1).tolist(), len(fps)]
         out_a, out_b = [], []
         for start, end in zip(edges[:-1], edges[1:], strict=True):
-            if end - start < 2:
-                continue
-            masks, members = RINGS[ring[start]], fps[start:end]
+            chains = masks(paths(depth)[path[start]])[1]
+            members = fps[start:end]
             for row in range(len(members) - 1):
                 differs = members[row + 1 :] ^ members[row]
-                near = np.bitwise_count(differs & np.uint64(masks["inner_two"])) <= 1
-                near &= np.bitwise_count(differs & np.uint64(masks["outer_two"])) <= 1
-                at = np.flatnonzero(near)
+                at = np.arange(len(differs))
+                for chain in reversed(chains):
+                    at = at[np.bitwise_count(differs[at] & np.uint64(chain)) <= 1]
                 at = at[np.bitwise_count(differs[at]) <= MAX_DISTANCE]
                 if len(at):
                     out_a.append(np.full(len(at), members[row]))
@@ -119,18 +127,23 @@ def _bucket_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         a, b = _forest(np.concatenate(out_a).view(np.int64), np.concatenate(out_b).view(np.int64))
         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    for batch in batches:
-        table = pa.Table.from_batches([batch])
-        table = table if rest is None else pa.concat_tables([rest, table])
-        if not table.num_rows:
-            continue
-        ring, key = table.column("ring").to_numpy(), table.column("key").to_numpy()
-        last = int(np.flatnonzero((ring != ring[-1]) | (key != key[-1]))[-1]) + 1 if ((ring != ring[-1]) | (key != key[-1])).any() else 0
-        if last:
-            yield solve(table.slice(0, last))
-        rest = table.slice(last)
-    if rest is not None and rest.num_rows:
-        yield solve(rest)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: pa.Table | None = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            table = table if rest is None else pa.concat_tables([rest, table])
+            if not table.num_rows:
+                continue
+            path, key = table.column("path").to_numpy(), table.column("key").to_numpy()
+            others = np.flatnonzero((path != path[-1]) | (key != key[-1]))
+            last = int(others[-1]) + 1 if len(others) else 0
+            if last:
+                yield solve(table.slice(0, last))
+            rest = table.slice(last)
+        if rest is not None and rest.num_rows:
+            yield solve(rest)
+
+    return run
 
 
 def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -153,20 +166,32 @@ def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def links(distinct: DataFrame) -> DataFrame:
-    """Edges (a, b) between different fingerprints fp of `distinct` that join just what 2 or fewer differing bits join."""
-    keyed = distinct.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(_signed(r["key"]))) for r in RINGS])).alias("ring", "key"))
-    counts = materialize(keyed.groupBy("ring", "key").count().where("count > 1"), "simhash-buckets")
-    small = keyed.join(counts.where(F.col("count") <= BUCKET_LIMIT).drop("count"), ["ring", "key"])
-    small = small.select("ring", "key", "fp").repartition("ring", "key").sortWithinPartitions("ring", "key")
-    edges = small.mapInArrow(_bucket_links, "a long, b long")
-    large = counts.where(F.col("count") > BUCKET_LIMIT).drop("count")
-    if large.isEmpty():
-        return edges
-    hot = keyed.join(large, ["ring", "key"]).select("fp").distinct()
-    around = [F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit(_signed(1 << k))) for k in range(BITS)]]
-    balls = hot.select("fp", F.explode(F.array(*around)).alias("centre")).groupBy("centre").agg(F.collect_list("fp").alias("fps")).where("size(fps) > 1")
-    stars = balls.select(F.array_min("fps").alias("a"), F.explode("fps").alias("b")).where("a <> b")
-    return edges.unionByName(stars)
+    """Edges (a, b) between different fingerprints fp of `distinct` that join just what 2 or fewer differing bits join.
+
+    Of two fingerprints in one bucket that differ in at most two bits, one more ring over the bits outside the key finds again
+    a segment where they agree; so a bucket's links are all among those of its parts, and each ring makes a large bucket's
+    parts share more bits, until the free bits allow no more than BUCKET_LIMIT fingerprints.
+    """
+    keyed = _keyed(distinct.select("fp", F.lit(0).alias("path")), RINGS, RINGS)
+    edges: DataFrame | None = None
+    for depth in itertools.count(RINGS):
+        counts = materialize(keyed.groupBy("path", "key").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1"), "simhash-buckets")
+        small = keyed.join(counts.where(F.col("rows") <= BUCKET_LIMIT).drop("rows"), ["path", "key"])
+        small = small.select("path", "key", "fp").repartition("path", "key").sortWithinPartitions("path", "key")
+        found = small.mapInArrow(_bucket_links(depth), "a long, b long")
+        edges = found if edges is None else edges.unionByName(found)
+        large = counts.where(F.col("rows") > BUCKET_LIMIT).drop("rows")
+        if large.isEmpty():
+            return edges
+        keyed = materialize(_keyed(keyed.join(large, ["path", "key"]).select("fp", "path"), depth + 1, 1), "simhash-large")
+
+
+def _keyed(rows: DataFrame, depth: int, added: int) -> DataFrame:
+    """(path, key, fp): each row (fp, path) in the 3**added ways to start `added` more rings, which makes `depth` in all."""
+    ways = 3**added
+    key_masks = F.array(*[F.lit(_signed(masks(p)[0])) for p in paths(depth)])
+    longer = rows.select("fp", F.explode(F.sequence(F.col("path") * ways, F.col("path") * ways + ways - 1)).alias("path"))
+    return longer.select("path", F.col("fp").bitwiseAND(F.element_at(key_masks, F.col("path") + 1)).alias("key"), "fp")
 
 
 def _grouped(documents: DataFrame, words: int) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -205,13 +230,15 @@ def keep_first(documents: DataFrame, words: int = 3) -> DataFrame:
     kept = documents.where("doc_id is not null").join(copies, "doc_id", "left_anti")
     repeated = materialize(prints.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "simhash-repeated")
     if not repeated.isEmpty():
-        once = kept.join(repeated, "doc_id", "left_semi").withColumn("__text_hash", F.xxhash64("text")).dropDuplicates(["doc_id", "__text_hash"])
-        kept = kept.join(repeated, "doc_id", "left_anti").unionByName(once.drop("__text_hash"))
+        mark = unused(documents.columns, "mark")
+        once = kept.join(repeated, "doc_id", "left_semi").withColumn(mark, F.xxhash64("text")).dropDuplicates(["doc_id", mark])
+        kept = kept.join(repeated, "doc_id", "left_anti").unionByName(once.drop(mark))
     if not prints.where("doc_id is null").isEmpty():
         bare = roots.groupBy("root").agg(F.min("first_id").alias("smallest"), F.min(F.when(F.col("first_id").isNull(), F.col("fp"))).alias("fp")).where("smallest is null")
-        nulls = documents.where("doc_id is null").withColumn("__fp", _fingerprint_column(text_or_empty(), F.lit(words)))
-        nulls = nulls.join(bare.select(F.col("fp").alias("__fp")), "__fp", "left_semi").dropDuplicates(["__fp"])
-        kept = kept.unionByName(nulls.drop("__fp"))
+        own = unused(documents.columns, "fp")
+        nulls = documents.where("doc_id is null").withColumn(own, _fingerprint_column(text_or_empty(), F.lit(words)))
+        nulls = nulls.join(bare.select(F.col("fp").alias(own)), own, "left_semi").dropDuplicates([own])
+        kept = kept.unionByName(nulls.drop(own))
     return kept.select(*[F.col(f"`{c}`") for c in documents.columns])
 
 
