@@ -1,7 +1,10 @@
 """The corpus pipeline: documents in, packed training sequences out.
 
 Every stage takes (spark, docs, sf_dir), works on all rows that the stage before kept, and returns a DataFrame that is written
-as Parquet and read again as the next one's docs. All but the last keep the columns of documents.
+as Parquet and read again as the next one's docs. All but the last keep the columns of documents, whatever their names.
+
+Null and empty texts go with the first stage, which knows no language for them; rows with a null doc_id stay like others, after
+them in order; repeated rows are copies; texts of any length are read whole; empty documents give an empty result.
 """
 
 from __future__ import annotations
@@ -11,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import language, near_copies, packing, secret_scan, simhash, span_dedup
-from tessera.llm.common import materialize
+from tessera.llm.common import materialize, unused
 
 #: Rows below this score are in none of the learned languages: a text that shares no n-gram with any landmark scores 0.25 among
 #: four equally frequent languages, the shortest clean texts more than 0.3.
@@ -25,8 +28,9 @@ def _counted(changed: DataFrame, before: DataFrame) -> DataFrame:
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the documents in a learned language; texts without a letter and texts unlike all of them go."""
-    found = language.predict(docs, language.fit(docs))
-    return found.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= MIN_LANGUAGE_SCORE)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    lang, score = unused(docs.columns, "lang"), unused(docs.columns, "score")
+    found = language.predict(docs, language.fit(docs), lang, score)
+    return found.where((F.col(lang) != language.UNKNOWN) & (F.col(score) >= MIN_LANGUAGE_SCORE)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,8 +40,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_repeated_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Remove sentences covered by a repeated span that isn't the corpus's first; documents of which nothing is left go."""
-    found = span_dedup.deduplicate(docs)
-    return _counted(found.where((F.col("removed_words") == 0) | (F.trim("text") != "")).drop("removed_words"), docs)
+    count = unused(docs.columns, "removed")
+    found = span_dedup.deduplicate(docs, count)
+    return _counted(found.where((F.col(count) == 0) | (F.trim("text") != "")).drop(count), docs)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

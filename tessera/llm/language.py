@@ -6,7 +6,7 @@ one-versus-rest kernel ridge regression is solved on them. Texts are scored in b
 landmarks' gives the kernel values, and those times the coefficients give a score per language.
 
 N-grams are hashed into 2**20 numbers. The classifier is fitted on a bounded sample of labelled rows (parameters
-per_language and max_rows); the sample's n-gram numbers, not its texts, come to the driver.
+per_language and max_rows), whose kernel values against the landmarks are computed in tasks.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import map_batches
+from tessera.llm.common import map_batches, materialize
 
 PER_LANGUAGE = 400
 MAX_ROWS = 8000
@@ -103,27 +103,19 @@ class Model:
         return out, known
 
 
-def _train(grams: list[np.ndarray], langs: list[str], landmarks: int, ridge: float) -> Model | None:
+def _base(landmarks: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The landmarks' distinct n-grams, and a matrix (n-grams x landmarks) of presence over the root of a landmark's size."""
+    vocabulary = np.unique(np.concatenate(landmarks))
+    base = np.zeros((len(vocabulary), len(landmarks)), np.float32)
+    for column, grams in enumerate(landmarks):
+        base[np.searchsorted(vocabulary, grams), column] = 1.0 / np.sqrt(len(grams))
+    return vocabulary, base
+
+
+def _train(vocabulary: np.ndarray, base: np.ndarray, kernel: np.ndarray, langs: list[str], ridge: float) -> Model:
+    """Ridge regression on Nyström features; kernel has a row per labelled text, the landmarks' own first."""
     languages = sorted(set(langs))
-    if not languages:
-        return None
-    own = {lang: [i for i, x in enumerate(langs) if x == lang] for lang in languages}
-    chosen: list[int] = []
-    depth = 0
-    while len(chosen) < min(landmarks, len(langs)):
-        chosen += [rows[depth] for rows in own.values() if depth < len(rows)][: landmarks - len(chosen)]
-        depth += 1
-    vocabulary = np.unique(np.concatenate([grams[i] for i in chosen]))
-    table = np.full(1 << HASH_BITS, -1, np.int32)
-    table[vocabulary] = np.arange(len(vocabulary))
-    base = np.zeros((len(vocabulary), len(chosen)), np.float32)
-    for column, i in enumerate(chosen):
-        base[table[grams[i]], column] = 1.0 / np.sqrt(len(grams[i]))
-    kernel = np.zeros((len(grams), len(chosen)))
-    for row, g in enumerate(grams):
-        columns = table[g]
-        kernel[row] = base[columns[columns >= 0]].sum(axis=0, dtype=np.float64) / np.sqrt(len(g))
-    values, vectors = np.linalg.eigh(kernel[chosen])
+    values, vectors = np.linalg.eigh(kernel[: kernel.shape[1]])
     kept = values > max(1e-8, values.max() * 1e-8)
     root = vectors[:, kept] / np.sqrt(values[kept])
     features = kernel @ root
@@ -142,40 +134,60 @@ def held_out(doc_id: Column) -> Column:
 def fit(documents: DataFrame, per_language: int = PER_LANGUAGE, max_rows: int = MAX_ROWS, landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model | None:
     """A model of text and lang of the rows that aren't held out; None if there are none with letters.
 
-    At most per_language rows of each language, chosen by a hash of doc_id, and at most max_rows rows and languages in all.
-    Large languages are thinned by the same hash before any row is ranked. Rows with null doc_id, text or lang are not learned
-    from.
+    At most per_language texts of each language, chosen by a hash of doc_id and text, and at most max_rows texts and languages
+    in all; large languages are thinned by the same hash before any is ranked. Rows with null doc_id or lang and texts that are
+    null or without a letter are left out before that, and repeated rows count once. Only the landmarks' n-grams and one
+    kernel value per text and landmark come to the driver, whatever the texts' lengths.
     """
-    rows = documents.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    shares = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_rows)
-    shares = shares.select("lang", F.least(F.lit(1.0), F.lit(4.0 * per_language) / F.col("count")).alias("share"))
-    thinned = rows.select(F.col("doc_id").alias("picked_id"), "lang").join(F.broadcast(shares), "lang").where(F.pmod(F.xxhash64("picked_id"), F.lit(1 << 20)) < F.col("share") * (1 << 20))
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("picked_id"), "picked_id"))
-    picked = thinned.select("picked_id", "lang", place.alias("place")).where(F.col("place") <= per_language)
-    picked = picked.orderBy("place", "lang").limit(max_rows).select("picked_id", "place")
-    texts = rows.where("text is not null").join(F.broadcast(picked), F.col("doc_id") == F.col("picked_id")).select("lang", "text", "place", "doc_id")
+    rows = documents.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")) & F.col("text").rlike(r"\p{L}"))
+    rows = rows.select(F.col("lang").cast("string").alias("lang"), F.xxhash64(F.col("doc_id").cast("string"), "text").alias("mark"), F.col("doc_id").cast("string").alias("doc_id"), "text")
+    shares = rows.groupBy("lang").agg(F.approx_count_distinct("mark").alias("rows")).orderBy(F.desc("rows"), "lang").limit(max_rows)
+    shares = shares.select("lang", F.least(F.lit(1.0), F.lit(4.0 * per_language) / F.col("rows")).alias("share"))
+    thinned = rows.join(F.broadcast(shares), "lang").where(F.pmod("mark", F.lit(1 << 20)) < F.col("share") * (1 << 20)).select("lang", "mark", "doc_id").distinct()
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("mark", "doc_id"))
+    picked = thinned.withColumn("place", place).where(F.col("place") <= per_language).orderBy("place", "lang").limit(max_rows)
+    texts = rows.join(F.broadcast(picked), ["lang", "mark", "doc_id"]).dropDuplicates(["lang", "mark", "doc_id"])
+    texts = materialize(texts.select("lang", "place", "text"), "language-sample")
+
+    def numbers(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = [ngrams(t) for t in batch.column(2).to_pylist()]
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int32()))], ["lang", "place", "grams"])
+
+    leading = texts.where("place <= %d" % landmarks).orderBy("place", "lang").limit(landmarks)
+    chosen = sorted(map_batches(leading, numbers, "lang string, place int, grams array<int>").where("size(grams) > 0").collect(), key=lambda r: (r["place"], r["lang"]))
+    if not chosen:
+        return None
+    vocabulary, base = _base([np.array(r["grams"], np.int64) for r in chosen])
+    table = np.full(1 << HASH_BITS, -1, np.int32)
+    table[vocabulary] = np.arange(len(vocabulary))
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [ngrams(t) for t in batch.column(1).to_pylist()]
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64())), batch.column(2), batch.column(3).cast(pa.int64())], ["lang", "grams", "place", "doc_id"])
+    def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = []
+        for text in batch.column(2).to_pylist():
+            grams = ngrams(text)
+            columns = table[grams]
+            found.append(base[columns[columns >= 0]].sum(axis=0, dtype=np.float64) / np.sqrt(len(grams)) if len(grams) else None)
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.float64()))], ["lang", "place", "row"])
 
-    sample = map_batches(texts, run, "lang string, grams array<long>, place int, doc_id long").where("size(grams) > 0").collect()
-    sample.sort(key=lambda r: (r["place"], r["lang"], r["doc_id"], len(r["grams"])))
-    sample = sample[:max_rows]
-    return _train([np.array(r["grams"], np.int64) for r in sample], [r["lang"] for r in sample], landmarks, ridge)
+    sample = map_batches(texts, kernel, "lang string, place int, row array<double>").where("row is not null").toPandas()
+    first = {(r["lang"], r["place"]): k for k, r in enumerate(chosen)}
+    sample["order"] = [first.get(key, len(first)) for key in zip(sample["lang"], sample["place"], strict=True)]
+    sample = sample.sort_values(["order", "place", "lang"], kind="stable")
+    return _train(vocabulary, base, np.stack(sample["row"].tolist()), sample["lang"].tolist(), ridge)
 
 
-def predict(documents: DataFrame, model: Model | None) -> DataFrame:
-    """documents with lang_pred and score (0 to 1) in front of nothing else: every column and row, and the two added last.
+def predict(documents: DataFrame, model: Model | None, lang_column: str = "lang_pred", score_column: str = "score") -> DataFrame:
+    """documents with the predicted language and its score (0 to 1) added last; every row stays and every other column.
 
     Null text, texts without a letter and a missing model give `und` and 0. score is half of one more than the winning
     language's regression value (which is 1 for a sure yes and -1 for a sure no), cut to 0..1; ties go to the language that
-    sorts first. Existing columns lang_pred and score are replaced.
+    sorts first. Existing columns of the two names are replaced. Texts of any length are read whole; repeated rows repeat; an
+    empty table gives an empty table.
     """
-    names = [c for c in documents.columns if c not in ("lang_pred", "score")]
+    names = [c for c in documents.columns if c not in (lang_column, score_column)]
     plain = documents.select(*[F.col(f"`{c}`") for c in names])
     position = names.index("text")
-    schema = plain.withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0)}).schema
+    schema = plain.withColumns({lang_column: F.lit(""), score_column: F.lit(0.0)}).schema
     table = model.numbers() if model is not None else None
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -187,6 +199,6 @@ def predict(documents: DataFrame, model: Model | None) -> DataFrame:
             best = scores.argmax(axis=1)
             langs = [model.languages[b] if k else UNKNOWN for b, k in zip(best.tolist(), known.tolist(), strict=True)]
             values = np.where(known, np.clip((scores.max(axis=1) + 1) / 2, 0.0, 1.0), 0.0)
-        return pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(names))), pa.array(langs, pa.string()), pa.array(values)], [*names, "lang_pred", "score"])
+        return pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(names))), pa.array(langs, pa.string()), pa.array(values)], [*names, lang_column, score_column])
 
     return map_batches(plain, run, schema)

@@ -2,10 +2,12 @@
 
 A text is cut into sentences; every run of several consecutive sentences with enough words is hashed; runs that occur more
 than once in the corpus are found by one aggregation and one join; the sentences covered by any run but the corpus's first
-occurrence of it are removed.
+occurrence of it are removed, where they stand together in at least MIN_COVERED words (shorter ones are stock phrases).
 
 Sentences end at line ends, at words ending in a mark of punctuation, and at long words. The last two look at one word only,
 so a passage is cut alike wherever it stands, even where it begins or ends inside another sentence.
+
+Texts of any length are read whole, in one pass; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -18,13 +20,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import map_batches, materialize, text_or_empty
+from tessera.llm.common import map_batches, materialize, text_or_empty, unused
 
 #: A run has at least this many sentences and this many words, and is the shortest such from its first sentence.
 MIN_SENTENCES = 2
 MIN_WORDS = 12
+#: Neighbouring covered sentences go only if they have at least this many words together.
+MIN_COVERED = 18
 #: Words of at least this many bytes end a sentence.
-LONG_WORD = 12
+LONG_WORD = 10
 MARKS = frozenset(b".!?;:,")
 #: Stands for a null doc_id in keys: such rows come last.
 NO_ID = (1 << 63) - 1
@@ -80,6 +84,16 @@ def runs(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return found.view(np.int64), first, last - first
 
 
+def long_enough(covered: np.ndarray, ends: list[int]) -> np.ndarray:
+    """covered without its stretches of fewer than MIN_COVERED words."""
+    out = np.zeros(len(covered), bool)
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], covered.astype(np.int8), [0]])))
+    for first, last in edges.reshape(-1, 2).tolist():
+        if ends[last - 1] - (ends[first - 1] if first else 0) >= MIN_COVERED:
+            out[first:last] = True
+    return out
+
+
 def remove(text: str, covered: np.ndarray) -> tuple[str, int]:
     """A text without the sentences marked in covered (by number), and the number of words removed."""
     raw = text.encode()
@@ -146,17 +160,19 @@ def covered_runs(documents: DataFrame) -> DataFrame:
     return later.groupBy("key", "mark").agg(F.collect_set(F.struct("at", "sentences")).alias("runs"))
 
 
-def deduplicate(documents: DataFrame) -> DataFrame:
-    """documents with their repeated sentences removed: the same columns and rows, text shortened, plus removed_words.
+def deduplicate(documents: DataFrame, count_column: str = "removed_words") -> DataFrame:
+    """documents with their repeated sentences removed: the same columns and rows, text shortened, plus count_column, the words removed.
 
-    Null text stays null; texts of fewer than MIN_WORDS words never change; rows that repeat a doc_id and text count as one
-    document and stay alike; a text that is covered whole becomes empty. An existing column removed_words is replaced.
+    Null text stays null; texts of fewer than MIN_COVERED words never change; rows that repeat a doc_id and text count as one
+    document and stay alike; a text that is covered whole becomes empty. An existing column of the name count_column is
+    replaced; all others stay, whatever their names.
     """
-    names = [c for c in documents.columns if c != "removed_words"]
+    names = [c for c in documents.columns if c != count_column]
     plain = documents.select(*[F.col(f"`{c}`") for c in names])
-    runs_of_text = covered_runs(documents).toDF("__key", "__mark", "__runs")
-    joined = plain.withColumn("__key", _key()).withColumn("__mark", _mark()).join(runs_of_text, ["__key", "__mark"], "left").drop("__key", "__mark")
-    schema = plain.withColumn("removed_words", F.lit(0).cast("long")).schema
+    key, mark, found_runs = (unused(names, n) for n in ("key", "mark", "runs"))
+    runs_of_text = covered_runs(documents).toDF(key, mark, found_runs)
+    joined = plain.withColumn(key, _key()).withColumn(mark, _mark()).join(runs_of_text, [key, mark], "left").drop(key, mark)
+    schema = plain.withColumn(count_column, F.lit(0).cast("long")).schema
     position = names.index("text")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -164,12 +180,15 @@ def deduplicate(documents: DataFrame) -> DataFrame:
         removed = np.zeros(len(texts), np.int64)
         for row, found in enumerate(batch.column(len(names)).to_pylist()):
             if found and texts[row]:
-                covered = np.zeros(len(sentences(texts[row])[1]), bool)
+                ends = sentences(texts[row])[1]
+                covered = np.zeros(len(ends), bool)
                 for r in found:
                     covered[r["at"] : r["at"] + r["sentences"]] = True
-                texts[row], removed[row] = remove(texts[row], covered)
+                covered = long_enough(covered, ends)
+                if covered.any():
+                    texts[row], removed[row] = remove(texts[row], covered)
         columns = [batch.column(k) for k in range(len(names))]
         columns[position] = pa.array(texts, columns[position].type)
-        return pa.RecordBatch.from_arrays([*columns, pa.array(removed)], [*names, "removed_words"])
+        return pa.RecordBatch.from_arrays([*columns, pa.array(removed)], [*names, count_column])
 
     return map_batches(joined, run, schema)
