@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import random
+import re
 import string
+import zlib
 
 import numpy as np
 import public_tokenizers
@@ -75,7 +77,7 @@ def test_simhash_against_brute_force(spark, monkeypatch):
     frame = spark.createDataFrame([(simhash._signed(p),) for p in prints], "fp long")
     from tessera.llm.common import components
 
-    for limit in (1024, 3):
+    for limit in (1024, 8):
         monkeypatch.setattr(simhash, "BUCKET_LIMIT", limit)
         groups: dict[int, set[int]] = {}
         for r in components(simhash.links(frame)).collect():
@@ -182,10 +184,10 @@ def test_names_and_paths_are_no_secrets():
     assert [k for _, k, _ in secret_scan.find(hidden, RANKS)] == [3]
 
 
-@pytest.mark.parametrize("limit", [2, 32])
+@pytest.mark.parametrize("limit", [500, 300_000])
 def test_pipeline_drops_near_copies(spark, documents, empty, monkeypatch, limit):
     """Of exact, near (five-word Jaccard from 0.8) and less similar texts, no near pair stays and nothing else goes."""
-    monkeypatch.setattr(near_copies, "BUCKET_LIMIT", limit)
+    monkeypatch.setattr(near_copies, "BUCKET_WORDS", limit)
     generator = random.Random(23)
     texts = []
     for _ in range(30):
@@ -233,7 +235,7 @@ def test_span_dedup(spark, documents, empty):
 
 def test_span_dedup_null_ids(spark):
     """Rows without id are told apart by their whole text hash, and a list of runs holds one text's only."""
-    passage = "alpha beta gamma delta epsilon zeta eta. theta iota kappa lambda mu nu xi."
+    passage = "alpha beta gamma delta epsilon zeta eta. theta iota kappa lambda mu nu xi. omicron pi rho sigma tau upsilon."
     clean = "one two three four five six seven. eight nine ten eleven twelve thirteen fourteen."
 
     def tag(text):
@@ -245,9 +247,68 @@ def test_span_dedup_null_ids(spark):
     rows = [(1, passage), (None, f"{clean} {same}"), (None, f"{passage} {other}"), *[(None, f"{passage} {i} b") for i in range(40)], *[(None, f"{passage} c")] * 40]
     frame = spark.createDataFrame(rows, "doc_id long, text string")
     found = sorted((r.text, r.removed_words) for r in span_dedup.deduplicate(frame).collect())
-    expected = [(passage, 0), (f"{clean} {same}", 0), (f"{other}", 14), *[(f"{i} b", 14) for i in range(40)], *[("c", 14)] * 40]
+    expected = [(passage, 0), (f"{clean} {same}", 0), (f"{other}", 20), *[(f"{i} b", 20) for i in range(40)], *[("c", 20)] * 40]
     assert [(t.strip(), n) for t, n in found] == sorted(expected, key=lambda r: next(k for k, (t, _) in enumerate(found) if t.strip() == r[0]))
-    assert max(len(r.runs) for r in span_dedup.covered_runs(frame).collect()) <= 3
+    assert max(len(r.runs) for r in span_dedup.covered_runs(frame).collect()) <= 6
+
+
+def test_span_dedup_leaves_stock_phrases(spark):
+    """A repeated line of fewer than MIN_COVERED words stays; the same words inside a longer repeated passage go."""
+    line = "All rights are reserved, and no warranty is given by anyone here or there."
+    passage = line + " Nothing of it may be copied, sold or kept without a written word of leave."
+    texts = [f"first one {line} ends.", f"second {line}", f"third {passage} more", f"fourth {passage}"]
+    found = {r.doc_id: r for r in span_dedup.deduplicate(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [found[k].text for k in (0, 1, 2)] == texts[:3] and found[3].removed_words >= 18
+
+
+def test_language_sample(spark):
+    """Null, letterless and repeated rows take no place in the sample, and repeated ids multiply nothing."""
+    good = [(10_000 + i, f"straße über ich zucker {i}", "de") for i in range(10)]
+    bad = [(i, None if i % 2 else "12 34", "de") for i in range(3000)] + [(7, "immer dasselbe", "de")] * 3000
+    other = [(20_000 + i % 4, f"the other thing with {i}", "en") for i in range(400)]
+    frame = spark.createDataFrame(good + bad + other, "doc_id long, text string, lang string")
+    model = language.fit(frame, per_language=20)
+    assert model.languages == ["de", "en"]
+    for name in ("place", "picked_id", "mark", "share", "rows", "row"):
+        frame = frame.withColumn(name, F.lit("x"))
+    assert language.fit(frame, per_language=20).languages == ["de", "en"]
+
+
+def test_language_kernel_against_plain_python(spark):
+    """Features, ridge regression and scores again, with sets of n-grams and the whole kernel matrix."""
+    generator = random.Random(15)
+    words = {"aa": ["thing", "other", "with", "the"], "bb": ["zucker", "mehr", "und", "ich"]}
+    rows = [(i, " ".join(generator.choices(words[k], k=6)), k) for i, k in enumerate(["aa", "bb"] * 20)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit(frame, landmarks=1000)
+    learned = [r for r in frame.where(~language.held_out(F.col("doc_id"))).collect()]
+    sets = [set(language.ngrams(r.text).tolist()) for r in learned]
+
+    def value(a, b):
+        return len(a & b) / np.sqrt(len(a) * len(b))
+
+    unique = {r.text: s for r, s in zip(learned, sets, strict=True)}
+    langs = [r.lang for r in learned]
+    kernel = np.array([[value(a, b) for b in sets] for a in sets])
+    targets = np.where(np.array(langs)[:, None] == np.array(["aa", "bb"])[None], 1.0, -1.0)
+    n = len(langs)
+    middle = np.eye(n) - 1 / n
+    alpha = np.linalg.solve(middle @ kernel @ middle + language.RIDGE * n * np.eye(n), targets - targets.mean(axis=0))
+    asked = [r[1] for r in rows] + ["the mehr", "zucker"]
+    expected = []
+    for text in asked:
+        row = np.array([value(set(language.ngrams(text).tolist()), b) for b in sets])
+        expected.append((row - kernel.mean(axis=0)) @ middle @ alpha + targets.mean(axis=0))
+    assert len(unique) <= n
+    assert np.allclose(model.scores(asked, model.numbers())[0], np.array(expected), atol=2e-3)
+
+
+def test_ngrams_against_plain_python():
+    """As many n-grams as the set of blended-spectrum n-grams has (hashes of 20 bits may rarely meet)."""
+    for text in ("The quick  brown-fox 12 jumps!", "Straße über", "a", "ǅ x"):
+        plain = " " + " ".join("".join(c if c.isalpha() else " " for c in text.lower()).split()) + " "
+        grams = {plain[i : i + n] for n in (1, 2, 3) for i in range(len(plain) - n + 1)}
+        assert abs(len(language.ngrams(text)) - len(grams)) <= 1
 
 
 def test_language(spark, documents, empty):
@@ -264,6 +325,159 @@ def test_language(spark, documents, empty):
     assert {r.lang_pred for r in language.predict(documents, None).collect()} == {"und"}
 
 
+def test_packing_ids_equal_library():
+    """Ids by the library and by its vocabulary as ranks, on code points, contractions, spaces and random strings."""
+    encoder = packing._encoder(BYTE)
+    assert encoder.fast is not None
+    library = Tokenizer.from_file(BYTE)
+
+    def same(text):
+        return list(np.frombuffer(encoder.encode(text), "<u4")) == library.encode(text, add_special_tokens=False).ids
+
+    assert all(same(f"a{chr(c)}b 1{chr(c)} {chr(c)}{chr(c)} \n{chr(c)}") for c in [*range(0, 0x3000, 3), *range(0x3000, 0x110000, 997)] if not 0xD800 <= c < 0xE000)
+    generator = random.Random(31)
+    signs = string.printable + "éßñ中日\u00a0\u2003\u3000²½x̂😀"
+    for _ in range(3000):
+        assert same("".join(generator.choices(signs, k=generator.randint(0, 40))))
+    assert same("a <|endoftext|> b") and same("<|endoftext|>") and same("")
+
+
+def test_packing_pieces_against_library(documents):
+    """start, length and ids_crc32 of every piece from the library's own ids."""
+    library = Tokenizer.from_file(BYTE)
+    expected = []
+    for doc_id, text, *_ in ROWS:
+        ids = [*library.encode(text or "", add_special_tokens=False).ids, 2]
+        head = len(ids) % 1024 if len(ids) > 1024 else len(ids)
+        cuts = ([0, head] if head else [0]) + list(range(head + 1024, len(ids) + 1, 1024))
+        for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+            expected.append((str(doc_id), k, a, b - a, zlib.crc32(np.array(ids[a:b], "<u4").tobytes())))
+    found = packing.pieces(documents, BYTE).collect()
+    assert sorted((str(r.doc_id), r.piece, r.start, r.length, r.ids_crc32) for r in found) == sorted(expected)
+
+
+def test_html_pages():
+    """Hidden content, spans, folded parts and wide characters."""
+    assert html_text.text_of("<div>" * 199 + "<div hidden>SECRET</div>") == ""
+    assert html_text.text_of("<div hidden>" + "<div>" * 250 + "</div>" * 250 + "in</div>out") == "out"
+    assert html_text.text_of("<table><tr><td colspan=2>wide<td>c<tr><td>aaa<td>b<td>c</table>") == "wide    c\naaa  b  c"
+    assert html_text.text_of("<table><tr><td rowspan=2>r<td>one<tr><td>two<td>x</table>") == "r  one\n   two  x"
+    assert html_text.text_of("<div style='visibility:hidden'>a<b style='visibility:visible'>shown</b>c</div>") == "shown"
+    assert html_text.text_of("<details>x<summary>sum</summary>body</details><details open><summary>s2</summary>b2</details><dialog>no</dialog>") == "sum\ns2\nb2"
+    assert html_text.text_of("<style>.h{display:none} @media print{.z{display:none}} #i{display:none}</style><p class=h>no<p class=z>yes<p id=i>no") == "yes"
+    assert html_text.text_of("<table><tr><td>中文<td>x<tr><td>abcdef<td>y</table>") == "中文    x\nabcdef  y"
+    assert html_text.text_of("<ol><li>a<p>b</p><li><ul><li>n</ul></ol><blockquote>q</blockquote>") == "1. a\n\n   b\n\n2. - n\n\n  q"
+
+
+@pytest.mark.parametrize("page", ["<table><tr><td>" + "x" * 20_000 + "<td>y" + "<tr><td>a<td>b" * 3000 + "</table>", "<blockquote>" * 20_000 + "deep", "<ul><li>" * 20_000 + "deep", "<table><tr><td>" * 10_000 + "deep", "<b>" * 30_000 + "</i>" * 30_000 + "x", "<table>" + "<tr><td colspan=1000 rowspan=60000>x<td>y" * 300 + "</table>"])
+def test_html_output_is_in_proportion(page):
+    assert len(html_text.text_of(page)) <= 4 * len(page) + 8192
+
+
+def test_html_against_slow_reference():
+    """Random trees of divisions, paragraphs, inline and hidden elements, rendered a second way."""
+    generator = random.Random(41)
+
+    def tree(depth):
+        kids = [generator.choice(["w%d" % generator.randint(0, 99), " ", "x y"]) if depth == 0 or generator.random() < 0.4 else tree(depth - 1) for _ in range(generator.randint(0, 4))]
+        return generator.choice(["div", "section", "b", "span", "i"]), generator.random() < 0.15, kids
+
+    def source(node):
+        name, hidden, kids = node
+        return f"<{name}{' hidden' if hidden else ''}>" + "".join(k if isinstance(k, str) else source(k) for k in kids) + f"</{name}>"
+
+    def plain(node):
+        name, hidden, kids = node
+        if hidden:
+            return ""
+        inner = "".join(k if isinstance(k, str) else plain(k) for k in kids)
+        return f"\n{inner}\n" if name in ("div", "section") else inner
+
+    for _ in range(400):
+        top = ("div", False, [tree(4), "end"])
+        lines = [" ".join(line.split()) for line in plain(top).split("\n")]
+        assert html_text.text_of(source(top)) == "\n".join(line for line in lines if line)
+
+
+def _slow_fingerprint(text):
+    """The rolling hash of seven bytes, chunks and signatures, byte by byte."""
+    data, m32 = text.encode(), (1 << 32) - 1
+    if not data:
+        return "4::"
+
+    def mix(v):
+        v ^= v >> 15
+        v = v * 0x2C1B3C6D & m32
+        return v ^ v >> 13
+
+    rolling = []
+    for i in range(len(data)):
+        rolling.append(mix(sum(data[i - k] * pow(0x9E3779B1, k, 1 << 32) for k in range(min(i, 6) + 1)) & m32))
+
+    def signature(level):
+        out, chunk, n = [], 0, 0
+        for b, r in zip(data, rolling, strict=True):
+            chunk, n = (chunk + (b + 1) * pow(0x85EBCA6B, n, 1 << 32)) & m32, n + 1
+            if r % (1 << level) == 0:
+                out, chunk, n = [*out, fuzzy_hash.PAIRS[mix(chunk) >> 20]], 0, 0
+        return out + [fuzzy_hash.PAIRS[mix(chunk) >> 20]] if n else out
+
+    level = 2
+    while sum(r % (1 << level) == 0 for r in rolling) >= 64:
+        level += 1
+    return f"{1 << level}:{''.join(signature(level))}:{''.join(signature(level + 1))}"
+
+
+def test_fuzzy_hash_against_slow_reference():
+    generator = random.Random(8)
+    for n in (0, 1, 2, 5, 7, 30, 300, 3000, 20_000):
+        text = "".join(generator.choices("abcdefgh ijké中.", k=n))
+        assert fuzzy_hash.fingerprint(text) == _slow_fingerprint(text)
+    for _ in range(50):
+        a, b = ("".join(generator.choices(fuzzy_hash.PAIRS[:6], k=generator.randint(1, 30))) for _ in "ab")
+        one, two = [a[k : k + 2] for k in range(0, len(a), 2)], [b[k : k + 2] for k in range(0, len(b), 2)]
+        row = [0] * (len(two) + 1)
+        for x in one:
+            row = _next_row(row, x, two)
+        assert fuzzy_hash._common(a, b) == row[-1]
+
+
+def _next_row(row, x, two):
+    out = [0]
+    for k, y in enumerate(two):
+        out.append(row[k] + 1 if x == y else max(row[k + 1], out[-1]))
+    return out
+
+
+def test_simhash_fingerprint_against_slow_reference():
+    for text in (None, "", "  \t", "One", "One two", "A b C d e", "x " * 500, "É\x0bß\x1cq 中 r s"):
+        words = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+        grams = [" ".join(words[k : k + 3]) for k in range(len(words) - 2)] if len(words) >= 3 else [" ".join(words)] if words else []
+        hashes = [xxhash.xxh64_intdigest(g.encode(), 42) for g in grams]
+        assert simhash.fingerprint(text) == sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+#: Every name that the operators use for their own columns.
+INNER = "id mark key fp runs at path rows place share lang_pred score removed_words sentences hash node root count bucket length offset __id __mark __key __runs __fp __lang __score __removed __text_hash a b band n keys grams lead_id lead_mark part parts".split()
+
+
+def test_any_extra_column_is_kept(spark):
+    """The pipeline's filtering stages with an extra column of every inner name: all stay as they were."""
+    rows = [(i, f"The other thing number {i} with the words of it, and some more of those.", "en", "s", 60) for i in range(12)] + [(None, "Ich und der zucker mit über die straße hinaus.", "de", "s", 40)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for name in INNER:
+        frame = frame.withColumn(name, F.lit(f"own {name}"))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, frame, "")
+        assert after.columns == frame.columns
+        found = after.collect()
+        assert found and all(r[name] == f"own {name}" for r in found for name in INNER)
+    assert language.predict(frame.drop("lang_pred", "score"), language.fit(frame)).count() == len(rows)
+    assert simhash.near_duplicates(frame).count() == span_dedup.deduplicate(frame).count() == len(rows)
+    assert packing.pack(packing.pieces(frame, BYTE)).count() == len(rows)
+    assert fuzzy_hash.neighbours(frame).count() == bpe.digests(frame, WORD).count() == len(rows)
+
+
 def test_html(spark):
     page = "<head><title>t</title></head><p>One<p>Two <b>bold</b>  x<br>y<ul><li>a<li>b<ol start=3><li>q</ol></ul><table><tr><th>Name<th>N<tr><td>longer<td>1</table><div hidden>no</div><pre>\n a\n  b</pre><p style='display:none'>no</p>end &amp; <script>no</script>"
     assert html_text.text_of(page) == "One\n\nTwo bold x\ny\n\n- a\n- b\n  3. q\n\nName    N\nlonger  1\n\n a\n  b\n\nend &"
