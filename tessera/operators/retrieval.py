@@ -33,13 +33,17 @@ def term_frequencies(documents: DataFrame, key: str, text: str) -> DataFrame:
 def search(documents: DataFrame, key: str, text: str, query: Sequence[str], top_k: int | None = 5) -> DataFrame:
     """(key, score, confidence) by inverse document frequency times log frequency over the query's terms, scaled by coverage.
 
-    Only the query's terms are counted, in one pass over the documents, so nothing but matching rows is shuffled.
+    Only the query's terms are counted, in one pass over the documents: other stems are left out where they arise, and each
+    document has at most one row per query term, made in place. Nothing but matching rows is shuffled. Keys are unique.
     """
     spark = documents.sparkSession
     terms = spark.createDataFrame([(i, t) for i, t in enumerate(query)], "n int, token string").select("n", stem(F.lower("token")).alias("term"))
     wanted = terms.groupBy("term").agg(F.count(F.lit(1)).alias("times"))
     total = documents.agg(F.greatest(F.count(F.lit(1)), F.lit(1)).alias("total"))
-    found = term_frequencies(documents, key, text).join(F.broadcast(wanted), "term")
+    known = [r["term"] for r in wanted.select("term").collect()]
+    stems = documents.select(key, F.filter(F.transform(tokens(F.col(text)), stem), lambda t: t.isin(known)).alias("stems")).where("size(stems) > 0")
+    counted = stems.select(key, F.explode(F.transform(F.array_distinct("stems"), lambda t: F.struct(t.alias("term"), F.size(F.filter("stems", lambda s: s == t)).alias("tf")))).alias("t"))
+    found = counted.select(key, "t.*").join(F.broadcast(wanted), "term")
     frequency = found.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     weighted = found.join(F.broadcast(frequency), "term").join(F.broadcast(total))
     gain = F.ln(1 + F.col("total") / F.greatest("df", F.lit(1))) * (1 + F.ln(1 + F.col("tf"))) * F.col("times")

@@ -18,7 +18,11 @@ from tessera.functions.formula import compile_formula, names, unknown_names
 # Named priorities, parameters that count as exposure, the gates.
 PRIORITIES = {"user_locked": 10000, "user_lock": 10000, "user_preference": 9000, "high": 9000, "style_card": 6000, "medium": 6000, "system_default": 3000, "default": 3000, "low": 3000}
 OVERFLOW_ALIASES = ("preview_overflow_ratio", "preview_clip_ratio", "clip_ratio", "overflow_ratio")
+# Operators by the names that packs may use.
+OPERATORS = {name: op for op, names_ in (("lt", "lt <"), ("le", "le lte <="), ("gt", "gt >"), ("ge", "ge gte >="), ("eq", "eq == ="), ("ne", "ne != neq"), ("between", "between"), ("in", "in")) for name in names_.split()}
 OVERFLOW_LIMIT = 0.025
+LOW_IMPROVEMENT = 0.1
+MAX_ITERATIONS = 3
 QC_LIMIT = 0.03
 QC_STEP = -0.15
 
@@ -45,6 +49,7 @@ class Rule:
     step_decay: float | None = None
     target: float | None = None
     enabled: bool = True
+    level: str | None = None
 
 
 # The shipped rule pack.
@@ -65,10 +70,16 @@ PACK = (
 
 
 def priority(rule: Rule) -> float:
-    """A number, a named level, or 0."""
-    if isinstance(rule.priority, (int, float)):
-        return float(rule.priority)
-    return float(PRIORITIES.get(rule.priority or "", 0))
+    """A number (also as text) or a named level in any case, unknown ones 0; without priority the rule's level, else the default's."""
+    given = rule.priority if rule.priority is not None else rule.level or "default"
+    if isinstance(given, (int, float)):
+        return float(given)
+    if given.lower() in PRIORITIES:
+        return float(PRIORITIES[given.lower()])
+    try:
+        return float(given) if rule.priority is not None else 0.0
+    except ValueError:
+        return 0.0
 
 
 def predicate(condition: Condition, metrics: Mapping[str, Column]) -> Column:
@@ -76,14 +87,16 @@ def predicate(condition: Condition, metrics: Mapping[str, Column]) -> Column:
     column = metrics.get(condition.metric)
     if column is None:
         return F.lit(False)
-    value = condition.value
-    if condition.op == "between":
+    value, op = condition.value, OPERATORS.get(condition.op.lower())
+    if op is None:
+        raise ValueError(f"unknown operator {condition.op!r} on {condition.metric}")
+    if op == "between":
         held = column.between(value[0], value[1])
-    elif condition.op == "in":
+    elif op == "in":
         held = column.isin(list(value))
     else:
         other = F.lit(float(value) if isinstance(value, (bool, int, float)) else value)
-        held = {"lt": column < other, "le": column <= other, "gt": column > other, "ge": column >= other, "eq": column == other, "ne": column != other}[condition.op]
+        held = {"lt": column < other, "le": column <= other, "gt": column > other, "ge": column >= other, "eq": column == other, "ne": column != other}[op]
     return F.coalesce(held, F.lit(False))
 
 
@@ -188,6 +201,39 @@ def target_met(metric: Column, target: Column, op: str, tolerance: float = 0.0)
     return F.coalesce(held, F.lit(False))
 
 
+def termination(
+    unreliable: Column, irreparable: Column, locked_target: Column, goal: Column, met: Column, overall: Column, accept: Column, aesthetic: Column, stagnation: Column, history: Column, before: Column, now: Column, iteration: Column,
+    threshold: float = LOW_IMPROVEMENT, max_iterations: int = MAX_ITERATIONS,
+) -> Column:
+    """The ordered stop list as struct<should_stop, decision, reason_code>.
+
+    met is null without targets; overall, accept and stagnation switch their branches off where null; aesthetic and history are
+    arrays of the rounds' gains, oldest first. The last round goes on: its corrections are still applied.
+    """
+
+    def last_two_below(values: Column, limit: Column) -> Column:
+        return (F.size(values) >= 2) & (F.try_element_at(values, F.lit(-1)) < limit) & (F.try_element_at(values, F.lit(-2)) < limit)
+
+    branches = (
+        (unreliable, True, "manual_review", "unreliable"),
+        (irreparable, True, "manual_review", "irreparable"),
+        (locked_target & ~met, True, "manual_review", "user_locked_unmet"),
+        (goal, True, "stopped", "targets_met"),
+        (met, True, "stopped", "targets_met"),
+        (overall >= accept, True, "stopped", "aesthetic_target_met"),
+        (last_two_below(aesthetic, stagnation), True, "stopped", "aesthetic_stagnation"),
+        (last_two_below(history, F.lit(threshold)), True, "stopped", "low_improvement"),
+        ((before < threshold) & (now < threshold), True, "stopped", "low_improvement"),
+        (iteration >= max_iterations, False, "adjust_and_continue", "max_iterations"),
+    )
+    out = None
+    for condition, stop, decision, reason in branches:
+        found = F.struct(F.lit(stop).alias("should_stop"), F.lit(decision).alias("decision"), F.lit(reason).alias("reason_code"))
+        held = F.coalesce(condition, F.lit(False))
+        out = F.when(held, found) if out is None else out.when(held, found)
+    return out.otherwise(F.struct(F.lit(False).alias("should_stop"), F.lit("adjust_and_continue").alias("decision"), F.lit(None).cast("string").alias("reason_code")))
+
+
 def qc_rollback(ratio: Column, rollbacks: Column, locked: Column) -> Column:
     """pass, manual_review (locked, or a second time) or rollback, by the overflow ratio."""
     return first_of((~F.coalesce(ratio > QC_LIMIT, F.lit(False)), "pass"), (locked | (rollbacks >= 1), "manual_review"), default="rollback")

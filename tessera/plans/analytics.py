@@ -81,9 +81,9 @@ def monotone_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def golden_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labels as expectations against documents' lengths: verdicts by tolerance, missing ones kept."""
-    expected = table(spark, sf_dir, "labels").select("doc_id", (F.col("quality") * 1500.0 + 500).alias("expected"))
-    actual = table(spark, sf_dir, "documents").where("doc_id % 9 <> 0").select("doc_id", F.col("n_chars").cast("double").alias("actual"))
+    """Expected lengths of all documents against what their labels say: verdicts by tolerance, documents without a label missing."""
+    expected = table(spark, sf_dir, "documents").select("doc_id", F.col("n_chars").cast("double").alias("expected"))
+    actual = table(spark, sf_dir, "labels").select("doc_id", (F.col("quality") * 1500.0 + 500).alias("actual"))
     return corpus.compare(expected, actual, ["doc_id"], 300.0, 0.5)
 
 
@@ -145,7 +145,7 @@ def precedence_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
         .unionByName(lines.where("most >= 0.05").select("l_orderkey", F.lit(2).alias("rank"), F.lit("full_scan").alias("source"), "most"))
     )
     best = sources.groupBy("l_orderkey").agg(F.min_by(F.struct("source", "most"), "rank").alias("b")).select("l_orderkey", "b.*")
-    orders = table(spark, sf_dir, "orders").where("o_orderkey % 5 <> 0").select("o_orderkey", "o_orderstatus")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
     return orders.join(best, F.col("o_orderkey") == F.col("l_orderkey"), "full").select(F.coalesce("o_orderkey", "l_orderkey").alias("id"), F.coalesce("o_orderstatus", F.lit("none")).alias("status"), F.coalesce("source", F.lit("base")).alias("source"), "most")
 
 
@@ -194,8 +194,8 @@ ORACLES = {
     "nearest_median": "WITH m AS (SELECT p_brand, median(p_retailprice) AS m FROM part GROUP BY p_brand) SELECT p_brand, p_partkey FROM part JOIN m USING (p_brand) QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY abs(p_retailprice - m), p_partkey) = 1",
     "monotone_check": "WITH r AS (SELECT l_orderkey, l_extendedprice >= lead(l_extendedprice) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_extendedprice) AS ok FROM lineitem) SELECT l_orderkey, bool_and(coalesce(ok, true)) AS falling FROM r GROUP BY l_orderkey",
     "golden_compare": """
-        WITH e AS (SELECT doc_id, quality * 1500.0::DOUBLE + 500 AS expected FROM labels), a AS (SELECT doc_id, CAST(n_chars AS DOUBLE) AS actual FROM documents WHERE doc_id % 9 <> 0)
-        SELECT doc_id, expected, actual, abs(actual - expected) AS delta, CASE WHEN actual IS NULL THEN 'missing' WHEN abs(actual - expected) <= 300 + 0.5 * abs(expected) THEN 'matched' ELSE 'failed' END AS verdict FROM e LEFT JOIN a USING (doc_id)""",
+        WITH e AS (SELECT doc_id, CAST(n_chars AS DOUBLE) AS expected FROM documents), a AS (SELECT doc_id, quality * 1500.0::DOUBLE + 500 AS actual FROM labels)
+        SELECT doc_id, expected, actual, abs(actual - expected) AS delta, CASE WHEN actual IS NULL THEN 'missing' WHEN abs(actual - expected) <= 300 + CASE WHEN abs(expected) > 1.5 THEN 0.5 * abs(expected) ELSE 0 END THEN 'matched' ELSE 'failed' END AS verdict FROM e LEFT JOIN a USING (doc_id)""",
     "manifest_diff": """
         WITH e AS (SELECT CASE WHEN c_custkey % 13 = 0 THEN -c_custkey ELSE c_custkey END AS c_custkey, CASE WHEN c_custkey % 7 = 0 THEN 'CHANGED' ELSE c_mktsegment END AS s FROM customer WHERE c_custkey % 11 <> 0),
         f AS (SELECT c_custkey, c_mktsegment AS s FROM customer)
@@ -221,7 +221,7 @@ ORACLES = {
     "precedence_merge": """
         WITH l AS (SELECT l_orderkey, count(*) AS lines, round(max(l_discount), 4) AS most FROM lineitem GROUP BY 1),
         b AS (SELECT l_orderkey, most, CASE WHEN lines >= 6 THEN 'refined' WHEN lines % 2 = 0 THEN 'manual' ELSE 'full_scan' END AS source FROM l WHERE lines >= 6 OR lines % 2 = 0 OR most >= 0.05),
-        o AS (SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey % 5 <> 0)
+        o AS (SELECT o_orderkey, o_orderstatus FROM orders)
         SELECT coalesce(o_orderkey, l_orderkey) AS id, coalesce(o_orderstatus, 'none') AS status, coalesce(source, 'base') AS source, most FROM o FULL JOIN b ON o_orderkey = l_orderkey""",
     "key_changes": """
         WITH d AS (SELECT user_id, CAST(ts AS DATE) AS day, event_type, count(*) AS n FROM events GROUP BY ALL), days AS (SELECT DISTINCT user_id, day FROM d),

@@ -48,19 +48,19 @@ _HITS = f"""
 
 
 def rules_termination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ordered stop list over each user's event sequence: irreparable, target met, two low improvements, at the cap, continue."""
-    events = table(spark, sf_dir, "events")
+    """The eleven branches of the stop list over each user's event sequence: a gain is the step's relative change of value."""
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    steps = events.select("user_id", "event_id", "event_type", "value", F.row_number().over(w).alias("iteration"), F.lag("value").over(w).alias("before"), F.lag("value", 2).over(w).alias("before2"))
-    gain, gain_before = F.abs(F.col("value") - F.col("before")), F.abs(F.col("before") - F.col("before2"))
-    reason = rules.first_of(
-        (F.col("event_type") == "error", "irreparable"),
-        (rules.target_met(F.col("value"), F.lit(50.0), "eq", 2.0), "targets_met"),
-        ((gain < 5) & (gain_before < 5), "low_improvement"),
-        (F.col("iteration") % 3 == 0, "last_iteration"),
-        default="continue",
-    )
-    return steps.select("user_id", "event_id", reason.alias("reason"), (~reason.isin("continue", "last_iteration")).alias("should_stop"))
+    steps = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "value", F.row_number().over(w).alias("n"), F.lag("value").over(w).alias("b1"), F.lag("value", 2).over(w).alias("b2"))
+    gain, gain_before = F.abs(F.col("value") - F.col("b1")) / 100, F.abs(F.col("b1") - F.col("b2")) / 100
+    kind, missing = F.col("event_type"), F.lit(None).cast("double")
+    met = F.when(kind != "view", rules.target_met(F.col("value"), F.lit(50.0), "eq", 2.0))
+    pair = F.filter(F.array(gain_before, gain), lambda x: x.isNotNull())
+    found = rules.termination(
+        unreliable=(kind == "error") & (F.col("value") > 80), irreparable=(kind == "error") & (F.col("value") < 5), locked_target=(kind == "purchase") & (F.col("value") > 70), goal=(kind == "signup") & (F.col("value") > 200), met=met,
+        overall=F.when(kind == "click", F.col("value")), accept=F.lit(150.0), aesthetic=pair, stagnation=F.when(kind == "click", F.lit(0.05)), history=F.when(kind == "view", pair).otherwise(F.array().cast("array<double>")),
+        before=F.when(kind == "error", gain_before).otherwise(missing), now=F.when(kind == "error", gain).otherwise(missing), iteration=F.col("n") % 4,
+    )
+    return steps.select("user_id", "event_id", found.alias("t")).select("user_id", "event_id", "t.*")
 
 
 def rules_qc_rollback(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,11 +109,13 @@ ORACLES = {
     + """ SELECT rule_id, param, count(*) AS hits, round(avg(new_value), 4) AS mean_value, round(min(new_value), 6) AS low, round(max(new_value), 6) AS high
         FROM hits GROUP BY rule_id, param""",
     "rules_termination": """
-        WITH s AS (SELECT user_id, event_id, event_type, value, row_number() OVER w AS iteration, lag(value) OVER w AS b1, lag(value, 2) OVER w AS b2
+        WITH s AS (SELECT user_id, event_id, event_type AS k, value AS v, row_number() OVER w AS n, abs(value - lag(value) OVER w) / 100 AS g, abs(lag(value) OVER w - lag(value, 2) OVER w) / 100 AS h
                    FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
-        r AS (SELECT user_id, event_id, CASE WHEN event_type = 'error' THEN 'irreparable' WHEN abs(value - 50) <= 2 THEN 'targets_met'
-              WHEN abs(value - b1) < 5 AND abs(b1 - b2) < 5 THEN 'low_improvement' WHEN iteration % 3 = 0 THEN 'last_iteration' ELSE 'continue' END AS reason FROM s)
-        SELECT user_id, event_id, reason, reason NOT IN ('continue', 'last_iteration') AS should_stop FROM r""",
+        r AS (SELECT user_id, event_id, CASE WHEN k = 'error' AND v > 80 THEN 'unreliable' WHEN k = 'error' AND v < 5 THEN 'irreparable' WHEN k = 'purchase' AND v > 70 THEN 'user_locked_unmet'
+              WHEN k = 'signup' AND v > 200 THEN 'targets_met' WHEN k <> 'view' AND abs(v - 50) <= 2 THEN 'targets_met' WHEN k = 'click' AND v >= 150 THEN 'aesthetic_target_met'
+              WHEN k = 'click' AND g < 0.05 AND h < 0.05 THEN 'aesthetic_stagnation' WHEN k IN ('view', 'error') AND g < 0.1 AND h < 0.1 THEN 'low_improvement' WHEN n % 4 >= 3 THEN 'max_iterations' END AS reason_code FROM s)
+        SELECT user_id, event_id, reason_code, coalesce(reason_code <> 'max_iterations', false) AS should_stop,
+               CASE WHEN reason_code IN ('unreliable', 'irreparable', 'user_locked_unmet') THEN 'manual_review' WHEN reason_code IS NULL OR reason_code = 'max_iterations' THEN 'adjust_and_continue' ELSE 'stopped' END AS decision FROM r""",
     "rules_qc_rollback": """
         WITH d AS (SELECT l_returnflag, CASE WHEN NOT l_discount > 0.03 THEN 'pass' WHEN l_linestatus = 'F' OR l_linenumber >= 2 THEN 'manual_review' ELSE 'rollback' END AS decision FROM lineitem)
         SELECT decision, l_returnflag, count(*) AS lines, round(sum(CASE WHEN decision = 'rollback' THEN -0.15 ELSE 0.0 END), 4) AS correction FROM d GROUP BY ALL""",

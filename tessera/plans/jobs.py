@@ -18,14 +18,15 @@ def stale_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def single_flight(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Requests of a user within an hour of the one that opened a flight join it: one flight per island."""
+    """A user's request joins the flight of the one before it if that came at most an hour earlier: one flight per island."""
     found = sequences.global_bursts(table(spark, sf_dir, "events").select("user_id", "event_id", "ts"), "ts", "event_id", 3600.0, keys=["user_id"])
     return found.groupBy("user_id", "island").agg(F.min("event_id").alias("leader"), (F.count(F.lit(1)) - 1).alias("joined"))
 
 
 def budget_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per supplier nation: slowest and mean price against budgets."""
-    rows = table(spark, sf_dir, "lineitem").join(F.broadcast(table(spark, sf_dir, "nation").select("n_nationkey").withColumn("l_suppkey", F.col("n_nationkey").cast("long"))), "l_suppkey")
+    supplier = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("n_nationkey"))
+    rows = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_extendedprice").join(supplier, "l_suppkey")
     found = rows.groupBy("n_nationkey").agg(F.max("l_extendedprice").alias("most"), F.avg("l_extendedprice").alias("mean"), F.count(F.lit(1)).alias("n"))
     return found.select("n_nationkey", "n", (F.col("most") <= 100_000).alias("peak_ok"), (F.round("mean", 4) <= 38_000).alias("mean_ok"))
 
@@ -106,7 +107,7 @@ def customer_value_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "customer").select("c_mktsegment", "c_custkey", "c_acctbal")
     middle = rows.groupBy("c_mktsegment").agg(F.median("c_acctbal").alias("m"))
     near = F.min_by("c_custkey", F.struct(F.abs(F.col("c_acctbal") - F.col("m")), "c_custkey"))
-    return rows.join(F.broadcast(middle), "c_mktsegment").groupBy("c_mktsegment").agg(F.min_by("c_custkey", F.struct("c_acctbal", "c_custkey")).alias("lowest"), F.max_by("c_custkey", F.struct("c_acctbal", "c_custkey")).alias("highest"), near.alias("middle"))
+    return rows.join(middle, "c_mktsegment").groupBy("c_mktsegment").agg(F.min_by("c_custkey", F.struct("c_acctbal", "c_custkey")).alias("lowest"), F.max_by("c_custkey", F.struct("c_acctbal", "c_custkey")).alias("highest"), near.alias("middle"))
 
 
 QUERIES = {f.__name__: f for f in (stale_results, single_flight, budget_gates, review_reasons, label_groups, pack_dependencies, health_rollup, bounded_loop, breaker, decisions, strided_sample, exposure_value, customer_value_ranks)}
@@ -118,7 +119,7 @@ ORACLES = {
     "single_flight": """
         WITH s AS (SELECT user_id, event_id, ts, CASE WHEN epoch(ts) - lag(epoch(ts)) OVER w <= 3600 THEN 0 ELSE 1 END AS b FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
         i AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS island FROM s) SELECT user_id, island, min(event_id) AS leader, count(*) - 1 AS joined FROM i GROUP BY ALL""",
-    "budget_gates": "SELECT n_nationkey, count(*) AS n, max(l_extendedprice) <= 100000 AS peak_ok, round(avg(l_extendedprice), 4) <= 38000 AS mean_ok FROM lineitem JOIN nation ON l_suppkey = n_nationkey GROUP BY n_nationkey",
+    "budget_gates": "SELECT n_nationkey, count(*) AS n, max(l_extendedprice) <= 100000 AS peak_ok, round(avg(l_extendedprice), 4) <= 38000 AS mean_ok FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey GROUP BY n_nationkey",
     "review_reasons": """
         WITH r AS (SELECT user_id, event_id, CASE WHEN event_type = 'error' THEN 'error' WHEN value > 100 THEN 'range' END AS reason FROM events)
         SELECT user_id, count_if(reason IS NULL) AS accepted, count_if(reason IS NOT NULL) AS rejected, count_if(reason = 'error') AS errors, count_if(reason = 'range') AS ranges, max(event_id) FILTER (reason IS NULL) AS last_accepted FROM r GROUP BY user_id""",

@@ -18,8 +18,8 @@ def doc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def doc_tf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stem frequencies over benchmark texts, with document frequencies."""
-    tf = retrieval.term_frequencies(table(spark, sf_dir, "benchmark"), "item_id", "text")
+    """Stem frequencies over all documents, with document frequencies."""
+    tf = retrieval.term_frequencies(table(spark, sf_dir, "documents"), "doc_id", "text")
     return tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total"), F.max("tf").alias("most"))
 
 
@@ -135,7 +135,7 @@ def _hit(text: str, query: tuple[str, ...]) -> str:
 
 ORACLES = {
     "doc_tokens": f"WITH t AS (SELECT doc_id, {_tokens('text')} AS t FROM documents) SELECT doc_id, len(t) AS tokens, len(list_distinct(t)) AS distinct_tokens, coalesce(list_max(list_transform(t, lambda x: length(x))), 0) AS longest FROM t",
-    "doc_tf": f"WITH tf AS (SELECT item_id, {_STEM} AS term, count(*) AS tf FROM (SELECT item_id, unnest({_tokens('text')}) AS token FROM benchmark) GROUP BY ALL) SELECT term, count(*) AS df, sum(tf) AS total, max(tf) AS most FROM tf GROUP BY term",
+    "doc_tf": f"WITH tf AS (SELECT doc_id, {_STEM} AS term, count(*) AS tf FROM (SELECT doc_id, unnest({_tokens('text')}) AS token FROM documents) GROUP BY ALL) SELECT term, count(*) AS df, sum(tf) AS total, max(tf) AS most FROM tf GROUP BY term",
     "rag_search": f"WITH {_RAG} SELECT doc_id, score, round(least(0.95, 0.25 + 0.12 * score), 4) AS confidence FROM rag",
     "rag_top": f"WITH {_RAG} SELECT doc_id, score, round(least(0.95, 0.25 + 0.12 * score), 4) AS confidence FROM rag ORDER BY score DESC, doc_id LIMIT 5",
     "graph_query": f"WITH {_GRAPH} SELECT id, type, {_hit('label || chr(32) || type', ('asia', 'nation', '12', '#000000001'))} AS score FROM nodes WHERE score > 0",

@@ -43,12 +43,14 @@ def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def knowledge_packs(spark: SparkSession, pattern: str) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) of all packs: the first pack's definition of a node stays, edges without both ends go."""
+    """(nodes, edges) of all packs: the first pack's definition of an id stays, edges without an id get the pack's name and their place, edges without both ends go."""
     read = spark.read.schema(f"nodes array<struct<{_fields(schemas.NODE)}>>, edges array<struct<{_fields(schemas.EDGE)}>>").option("multiLine", "true").json(pattern)
     read = read.withColumn("pack", _name(F.col("_metadata.file_path")))
     nodes = read.select("pack", F.posexplode("nodes").alias("pos", "n")).select("pack", "pos", "n.*")
     nodes = nodes.withColumn("__n", F.row_number().over(Window.partitionBy("id").orderBy("pack", "pos"))).where("__n = 1").drop("__n", "pos")
-    edges = read.select("pack", F.explode("edges").alias("e")).select("pack", "e.*").dropDuplicates(["id"])
+    edges = read.select("pack", F.posexplode("edges").alias("pos", "e")).select("pack", "pos", "e.*")
+    edges = edges.withColumn("id", F.coalesce("id", F.concat_ws(":", "pack", F.concat(F.lit("e"), F.col("pos") + 1))))
+    edges = edges.withColumn("__n", F.row_number().over(Window.partitionBy("id").orderBy("pack", "pos"))).where("__n = 1").drop("__n", "pos")
     ids = nodes.select("id")
     kept = edges.join(ids.select(F.col("id").alias("from")), "from", "left_semi").join(ids.select(F.col("id").alias("to")), "to", "left_semi")
     return nodes, kept
