@@ -54,7 +54,14 @@ def text_or_empty(column: str = "text") -> Column:
 
 
 def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """Apply a function to slices of at most SLICE rows of df's Arrow batches, so that few texts are Python objects at a time."""
+    """Apply a function to slices of at most SLICE rows of df's Arrow batches, so that few texts are Python objects at a time.
+
+    Where the session has Spark's default of 10 000 rows a batch, it is set to SLICE too: rows here hold whole texts. At the
+    end of a task the worker gives back the memory that Arrow keeps for its next batch.
+    """
+    conf, rows = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(conf.get(rows)) == 10_000:
+        conf.set(rows, SLICE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -62,6 +69,8 @@ def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBat
                 out = function(batch.slice(start, SLICE))
                 if out is not None:
                     yield out
+        batch = out = None
+        pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
 
