@@ -19,7 +19,7 @@ from tessera.functions.formula import compile_formula, names, unknown_names
 PRIORITIES = {"user_locked": 10000, "user_lock": 10000, "user_preference": 9000, "high": 9000, "style_card": 6000, "medium": 6000, "system_default": 3000, "default": 3000, "low": 3000}
 OVERFLOW_ALIASES = ("preview_overflow_ratio", "preview_clip_ratio", "clip_ratio", "overflow_ratio")
 # Operators by the names that packs may use.
-OPERATORS = {name: op for op, names_ in (("lt", "lt <"), ("le", "le lte <="), ("gt", "gt >"), ("ge", "ge gte >="), ("eq", "eq == ="), ("ne", "ne != neq"), ("between", "between"), ("in", "in")) for name in names_.split()}
+OPERATORS = {name: op for op, names_ in (("lt", "lt <"), ("le", "le lte <="), ("gt", "gt >"), ("ge", "ge gte >="), ("eq", "eq == ="), ("ne", "ne != neq <>"), ("between", "between"), ("in", "in")) for name in names_.split()}
 OVERFLOW_LIMIT = 0.025
 LOW_IMPROVEMENT = 0.1
 MAX_ITERATIONS = 3

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,9 +10,11 @@ from pyspark.sql import SparkSession
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path below spark.checkpoint.dir; only where that is unset (tests in one JVM) below a temporary folder."""
+    """A new path below spark.checkpoint.dir; only where that is unset and all runs in one JVM (a local master) below a temporary folder."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("tessera.shared.dir", None)
     if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="spark-tessera-")
         spark.conf.set("tessera.shared.dir", root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"

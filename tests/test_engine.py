@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import json
+import math
 
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import color, dates, formula, text
-from tessera.operators import batch, corpus, patches, rules, sequences, states
+from tessera.operators import batch, corpus, kernels, patches, retrieval, reviewing, rules, sequences, states
 from tessera.plans.stages import Plan, available
 from tessera.sources import files, sinks
 from tessera.streaming import streams
@@ -177,3 +178,52 @@ def test_state_stream(spark, tmp_path):
     stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
     found = {r.seq: r.verdict for r in streams.to_table(streams.transitions(stream), "append").collect()}
     assert found == {1: "ok", 2: "illegal", 3: "reason", 4: "ok", 5: "ok", 6: "ok", 7: "ok", 8: "ok", 9: "ok", 10: "ok", 11: "rollback_limit", 12: "ok"}
+
+
+def test_rule_priorities_and_operators(spark):
+    """Levels in any case, numbers as text, the default level, and operators by their other names."""
+    rule = rules.Rule("a", None, (), "p", value=1.0)
+    with_level = rules.Rule("b", None, (), "p", value=1.0, level="Style_Card")
+    assert [rules.priority(r) for r in (rule, with_level)] == [3000.0, 6000.0]
+    assert [rules.priority(rules.Rule("c", given, (), "p", value=1.0)) for given in ("HIGH", "6000", "nonsense", 12)] == [9000.0, 6000.0, 0.0, 12.0]
+    row = spark.createDataFrame([(5.0,)], "m double")
+    held = {op: row.select(rules.predicate(rules.Condition("m", op, 5.0), {"m": F.col("m")})).head()[0] for op in ("<", "lte", "<=", ">", "gte", ">=", "==", "=", "!=", "neq")}
+    assert [op for op, x in held.items() if x] == ["lte", "<=", "gte", ">=", "==", "="]
+    with pytest.raises(ValueError):
+        rules.predicate(rules.Condition("m", "about", 5.0), {"m": F.col("m")})
+
+
+def test_kernels(spark):
+    """Known values: equal whites change nothing, ends of the tone curve, corners of a cube table, bounds of crops."""
+    one = spark.range(1)
+
+    def values(*columns):
+        return list(one.select(*[c.cast("double").alias(f"c{k}") for k, c in enumerate(columns)]).head())
+
+    white = kernels.xy_to_xyz(F.lit(0.3127), F.lit(0.3290))
+    assert values(*kernels.bradford([F.lit(0.2), F.lit(0.5), F.lit(0.7)], white, white)) == pytest.approx([0.2, 0.5, 0.7], abs=1e-5)
+    warm = kernels.xy_to_xyz(F.lit(0.4476), F.lit(0.4074))
+    assert values(*kernels.bradford(warm, warm, white)) == pytest.approx(values(*white), abs=1e-4)
+    curve = [kernels.filmic(F.lit(x), F.lit(0.4), F.lit(0.5), F.lit(0.7)) for x in (0.0, 0.25, 0.5, 0.75, 1.0)]
+    found = values(*curve)
+    assert found[0] == 0.0 and found[-1] == 1.0 and found == sorted(found)
+    cube = F.transform(F.sequence(F.lit(0), F.lit(26)), lambda n: (F.floor(n / 9) * 4 + F.floor(n / 3) % 3 * 2 + n % 3).cast("double"))
+    assert values(kernels.tetrahedral(cube, 3, [F.lit(1.0), F.lit(0.5), F.lit(0.25)]), kernels.tetrahedral(cube, 3, [F.lit(2.0), F.lit(-1.0), F.lit(0.0)])) == [8 + 2 + 0.5, 8.0]
+    assert values(*kernels.free_crop(F.lit(100), F.lit(50), [F.lit(90.0), F.lit(-5.0), F.lit(40.0), F.lit(10.0)])) == [90, 0, 10, 10]
+    assert values(*kernels.ratio_crop(F.lit(100), F.lit(50), F.lit(1.0), [F.lit(0.0), F.lit(0.5)])) == [0, 0, 50, 50]
+    assert values(kernels.light_source_kelvin(F.lit(21)), kernels.light_source_kelvin(F.lit(99)), kernels.reciprocal_blend(F.lit(9000.0), F.lit(2850.0), F.lit(6500.0))) == [6500.0, 0.0, 1.0]
+
+
+def test_review_queue(spark):
+    """Only pending items are decided; a new enqueue overwrites; actions before any are errors."""
+    log = [(1, 1, "accept"), (1, 2, "enqueue"), (1, 3, "reject"), (1, 4, "accept"), (1, 5, "enqueue"), (1, 6, "edit")]
+    found = reviewing.review_queue(spark.createDataFrame(log, "k int, n int, action string"), "k", ["n"], "action").orderBy("n").collect()
+    assert [(r.status, r.outcome) for r in found] == [(None, "error"), ("pending", "ok"), ("rejected", "ok"), ("rejected", "error"), ("pending", "overwritten"), ("edited", "ok")]
+
+
+def test_search_counts_stems(spark):
+    """Term and document frequencies of the query's stems, as counted by hand."""
+    rows = [(1, "cats cat dog"), (2, "dogs"), (3, "bird"), (4, None)]
+    found = {r.k: r.score for r in retrieval.search(spark.createDataFrame(rows, "k int, t string"), "k", "t", ["cat", "dog"], top_k=None).collect()}
+    first = math.log(1 + 4 / 1) * (1 + math.log(3)) + math.log(1 + 4 / 2) * (1 + math.log(2))
+    assert found == {1: pytest.approx(first, abs=1e-4), 2: pytest.approx(math.log(3) * (1 + math.log(2)) * 0.8, abs=1e-4)}
