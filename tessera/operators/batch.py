@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators import stretches
+
 # Filter limits, score weights, calibration anchors (raw p25 and p75, mapped to 2 and 4).
 LIMITS = (("motion_blur", ">", 0.35), ("low_detail", "<", 3.0), ("highlight_clip", ">", 0.03), ("shadow_clip", ">", 0.20))
 ANCHORS = {
@@ -58,5 +60,4 @@ def keep_newest(rows: DataFrame, keys: Sequence[str], time: str, tie: str, count
 
 def within_bytes(rows: DataFrame, keys: Sequence[str], order: Sequence[Column], size: str, budget: int) -> DataFrame:
     """Newest first while the sizes sum to at most the budget; the newest always stays."""
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("used", F.sum(size).over(w)).withColumn("__n", F.count(F.lit(1)).over(w)).where((F.col("used") <= budget) | (F.col("__n") == 1)).drop("__n")
+    return stretches.placed(rows, keys, order, size).withColumn("used", F.col("__used")).where((F.col("used") <= budget) | (F.col("__place") == 1)).drop("__place", "__size", "__used", "__total")

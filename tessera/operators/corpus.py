@@ -7,31 +7,27 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators import stretches
+
 
 def percentile_table(rows: DataFrame, metrics: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """(by, metric, n, p25, p50, p75, low, high): exact percentiles of each metric, in long form."""
     long = rows.select(*by, F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("v")) for m in metrics])).alias("s")).select(*by, "s.metric", "s.v")
-    found = long.groupBy(*by, "metric").agg(F.count("v").alias("n"), F.percentile("v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("p"), F.min("v").alias("low"), F.max("v").alias("high"))
-    return found.select(*by, "metric", "n", *[F.col("p")[i].alias(name) for i, name in enumerate(("p25", "p50", "p75"))], "low", "high")
+    keys = [*by, "metric"]
+    found = long.groupBy(*keys).agg(F.count("v").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
+    parts = stretches.quantiles(long, keys, "v", (0.25, 0.5, 0.75)).select(*[F.col(k).alias(f"__{k}") for k in keys], "q")
+    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+    return found.join(parts, same, "left").select(*keys, "n", *[F.col("q")[i].alias(name) for i, name in enumerate(("p25", "p50", "p75"))], "low", "high")
 
 
-def average_ranks(rows: DataFrame, value: str, name: str, slices: int = 64) -> DataFrame:
+def average_ranks(rows: DataFrame, value: str, name: str) -> DataFrame:
     """Add the rank of value over the whole table, ties sharing their mean rank, without a whole-table sort.
 
-    Rows are counted per value; the values are cut into slices by approximate quantiles, ranked within them and shifted by
-    the counts of the slices below.
+    Rows are counted per value, and the values' places come from the running count over stretches of them.
     """
-    counts = rows.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("__n"))
-    cuts = sorted(set(counts.approxQuantile(value, [k / slices for k in range(1, slices)], 0.25 / slices)))
-    place = F.lit(0)
-    for cut in cuts:
-        place = place + (F.col(value) > F.lit(cut)).cast("int")
-    cut_rows = counts.withColumn("__slice", place)
-    below = cut_rows.groupBy("__slice").agg(F.sum("__n").alias("__rows"))
-    shifts = below.select("__slice", F.coalesce(F.sum("__rows").over(Window.orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__shift"))
-    inner = F.coalesce(F.sum("__n").over(Window.partitionBy("__slice").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranks = cut_rows.withColumn("__inner", inner).join(F.broadcast(shifts), "__slice")
-    ranks = ranks.select(F.col(value).alias("__value"), (F.col("__inner") + F.col("__shift") + (F.col("__n") + 1) / 2).alias(name))
+    counts = rows.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("__value")).agg(F.count(F.lit(1)).alias("__n"))
+    laid = stretches.placed(counts, [], ["__value"], "__n")
+    ranks = laid.select("__value", (F.col("__used") - F.col("__n") + (F.col("__n") + 1) / 2).alias(name))
     return rows.join(ranks, F.col(value) == F.col("__value"), "left").drop("__value")
 
 
@@ -43,9 +39,7 @@ def spearman(rows: DataFrame, x: str, y: str) -> DataFrame:
 
 def linspace_sample(rows: DataFrame, keys: Sequence[str], order: Sequence[str], n: int) -> DataFrame:
     """n evenly spaced rows per key, first and last included, all of a smaller key."""
-    w = Window.partitionBy(*keys)
-    at, size = F.row_number().over(w.orderBy(*order)) - 1, F.count(F.lit(1)).over(w)
-    ranked = rows.withColumn("__at", at).withColumn("__size", size)
+    ranked = stretches.placed(rows, keys, order).withColumn("__at", F.col("__place") - 1).drop("__place")
     step = (F.col("__size") - 1) / F.lit(max(1, n - 1))
     nearest = F.round(F.col("__at") / step)
     picked = (F.col("__size") <= n) | ((nearest <= n - 1) & (F.floor(nearest * step + 0.5) == F.col("__at")))
@@ -59,8 +53,8 @@ def round_robin(rows: DataFrame, key: str, order: Sequence[str], per_group: int)
 
 def halves(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Label the lower half (rounded down) of each key `spike`, the upper `flat`."""
-    w = Window.partitionBy(*keys)
-    return rows.withColumn("half", F.when(F.row_number().over(w.orderBy(*order)) <= F.floor(F.count(F.lit(1)).over(w) / 2), "spike").otherwise("flat"))
+    ranked = stretches.placed(rows, keys, order)
+    return ranked.withColumn("half", F.when(F.col("__place") <= F.floor(F.col("__size") / 2), "spike").otherwise("flat")).drop("__place", "__size")
 
 
 def compare(expected: DataFrame, actual: DataFrame, keys: Sequence[str], abs_tol: float, rel_tol: float) -> DataFrame:
@@ -97,13 +91,20 @@ def interpolate(value: Column, points: Sequence[tuple[float, float]]) -> Column:
 def as_of(left: DataFrame, right: DataFrame, keys: Sequence[str], at: str, value: str, tie: str) -> DataFrame:
     """Add to left the value of the last right row of its key at or before it: both sides in one sorted stream, no range join.
 
-    The streams are merged by a union and a window, so a key's rows are sorted once, however many matches there are.
+    The streams are merged by a union and a window, so a key's rows are sorted once, however many matches there are. A key is
+    cut into stretches; the last value of those before goes to the rows that find none in their own.
     """
     l = left.withColumn("__side", F.lit(1)).withColumn("__v", F.lit(None).cast(right.schema[value].dataType))
     r = right.select(*keys, at, F.lit(0).alias("__side"), F.col(value).alias("__v"))
     both = l.unionByName(r, allowMissingColumns=True)
-    w = Window.partitionBy(*keys).orderBy(at, "__side", tie).rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn(f"last_{value}", F.last("__v", ignorenulls=True).over(w)).where("__side = 1").drop("__side", "__v")
+    order = (at, "__side", tie)
+    dealt = stretches.cut(both, keys, order)
+    inside = Window.partitionBy(*keys, "__stretch").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    local = dealt.withColumn("__here", F.last("__v", ignorenulls=True).over(inside))
+    ends = dealt.groupBy(*keys, "__stretch").agg(F.max_by("__v", F.when(F.col("__v").isNotNull(), F.struct(*order))).alias("__end"))
+    ends = ends.select(*keys, "__stretch", F.last("__end", ignorenulls=True).over(stretches.before(keys)).alias("__past"))
+    found = stretches.carry(local.where("__side = 1"), ends, keys)
+    return found.withColumn(f"last_{value}", F.coalesce("__here", "__past")).drop("__side", "__v", "__here", "__past")
 
 
 def window_sums(rows: DataFrame, value: str, windows: Sequence[tuple[float, float, float]]) -> Column:

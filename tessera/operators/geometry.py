@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators import stretches
+
 # Weights of the crop score.
 WEIGHTS = (("center", 0.45), ("thirds", 0.35), ("headroom", 0.12), ("coverage", 0.08))
 
@@ -78,6 +80,6 @@ def roughness(rows: DataFrame, key: str, order: Sequence[str], value: str) -> Da
 def match_quantiles(left: DataFrame, right: DataFrame, key: str, value: str, steps: int) -> DataFrame:
     """(key, q, source, target): equal quantiles of two samples, a curve that maps one distribution to the other."""
     at = [k / steps for k in range(steps + 1)]
-    a = left.groupBy(key).agg(F.percentile(value, F.array(*[F.lit(q) for q in at])).alias("a"))
-    b = right.groupBy(key).agg(F.percentile(value, F.array(*[F.lit(q) for q in at])).alias("b"))
+    a = stretches.quantiles(left, [key], value, at).withColumnRenamed("q", "a")
+    b = stretches.quantiles(right, [key], value, at).withColumnRenamed("q", "b")
     return a.join(b, key).select(key, F.posexplode(F.arrays_zip("a", "b")).alias("q", "p")).select(key, "q", F.col("p.a").alias("source"), F.col("p.b").alias("target"))

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators import stretches
+
 
 def differs(column: str, window, tolerance: float | None = None) -> Column:
     """Whether a value differs from the row before by the tolerance or more (or at all); null on either side matches."""
@@ -38,23 +40,23 @@ def split_oversized(rows: DataFrame, keys: Sequence[str], order: Sequence[str],
     return rows.withColumn("place", place).withColumn("size", F.count(F.lit(1)).over(w)).withColumn("chunk", F.floor((F.col("place") - 1) / limit).cast("int"))
 
 
-def global_bursts(frames: DataFrame, time: str, tie: str, gap: float, slice_unit: str = "day", keys: Sequence[str] = ()) -> DataFrame:
-    """Islands over the whole table (or per key, where one key may hold most rows) without sorting more than a slice of time in one task.
+def global_bursts(frames: DataFrame, time: str, tie: str, gap: float, keys: Sequence[str] = ()) -> DataFrame:
+    """Islands over the whole table (or per key, where one key may hold most rows) without sorting more than a stretch of time in one task.
 
-    The first row of a slice compares itself with the last row of the slice before it that has any; island numbers of a slice
-    start after those of all slices before. Only one row per slice (its ends and its count) meets in one place.
+    The first row of a stretch compares itself with the last row of the one before it; island numbers of a stretch start after
+    those of all before. Only one row per stretch (its ends and its count) meets in one place.
     """
     seconds = F.unix_micros(F.col(time).cast("timestamp")) / 1e6
-    cut = frames.where(F.col(time).isNotNull()).withColumn("__slice", F.date_trunc(slice_unit, F.col(time).cast("timestamp"))).withColumn("__at", seconds)
-    w = Window.partitionBy(*keys, "__slice").orderBy("__at", tie)
-    local = cut.withColumn("__before", F.lag("__at").over(w)).withColumn("__new", F.coalesce((F.col("__at") - F.col("__before") > gap).cast("int"), F.lit(0)))
+    dealt = stretches.cut(frames.where(F.col(time).isNotNull()).withColumn("__at", seconds), keys, ["__at", tie])
+    w = Window.partitionBy(*keys, "__stretch").orderBy("__at", tie)
+    local = dealt.withColumn("__before", F.lag("__at").over(w)).withColumn("__new", F.coalesce((F.col("__at") - F.col("__before") > gap).cast("int"), F.lit(0)))
     local = local.withColumn("__run", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    ends = local.groupBy(*keys, "__slice").agg(F.min("__at").alias("__start"), F.max("__at").alias("__end"), F.max("__run").alias("__inner"))
-    across = Window.partitionBy(*keys).orderBy("__slice") if keys else Window.orderBy("__slice")
+    ends = local.groupBy(*keys, "__stretch").agg(F.min("__at").alias("__start"), F.max("__at").alias("__end"), F.max("__run").alias("__inner"))
+    across = Window.partitionBy(*keys).orderBy("__stretch")
     opened = F.coalesce((F.col("__start") - F.lag("__end").over(across) > gap).cast("int"), F.lit(1))
     steps = ends.withColumn("__opened", opened).withColumn("__total", F.sum(F.col("__opened") + F.col("__inner")).over(across.rowsBetween(Window.unboundedPreceding, 0)))
-    offsets = steps.select(*keys, "__slice", (F.col("__total") - F.col("__inner")).alias("__offset"))
-    return local.join(offsets, [*keys, "__slice"]).withColumn("island", F.col("__run") + F.col("__offset")).drop("__slice", "__at", "__before", "__new", "__run", "__offset")
+    offsets = steps.select(*keys, "__stretch", (F.col("__total") - F.col("__inner")).alias("__offset"))
+    return stretches.carry(local, offsets, keys).withColumn("island", F.col("__run") + F.col("__offset")).drop("__at", "__before", "__new", "__run", "__offset")
 
 
 def run_lengths(rows: DataFrame, keys: Sequence[str], order: Sequence[str], below: Column, needed: int) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.operators import corpus
+from tessera.operators import corpus, stretches
 from tessera.plans.tables import table
 
 CURVE = ((0.0, 0.0), (10.0, 4.0), (20.0, 6.0), (35.0, 5.0), (50.0, 9.0))
@@ -31,10 +31,13 @@ def ab_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A/B per return flag and in all: median and p95 of both tracks, rows that improved, worst regression."""
     a, b = F.col("l_extendedprice"), F.col("l_extendedprice") * (1 - F.col("l_discount")) * (1 + F.col("l_tax"))
     rows = table(spark, sf_dir, "lineitem").select("l_returnflag", a.alias("a"), b.alias("b"))
-    found = rows.groupingSets([["l_returnflag"], []], "l_returnflag").agg(
-        F.count(F.lit(1)).alias("n"), F.percentile("a", F.array(F.lit(0.5), F.lit(0.95))).alias("pa"), F.percentile("b", F.array(F.lit(0.5), F.lit(0.95))).alias("pb"), F.count_if(F.col("b") < F.col("a")).alias("improved"), F.max(F.col("b") - F.col("a")).alias("worst"),
-    )
-    return found.select("l_returnflag", "n", F.round(F.col("pa")[0], 3).alias("a50"), F.round(F.col("pa")[1], 3).alias("a95"), F.round(F.col("pb")[0], 3).alias("b50"), F.round(F.col("pb")[1], 3).alias("b95"), "improved", F.round("worst", 3).alias("worst"), (F.col("pb")[0] <= F.col("pa")[0]).alias("gate"))
+    none = F.lit(None).cast("string")
+    both = rows.select(F.explode(F.array(F.struct(F.lit(False).alias("whole"), "l_returnflag"), F.struct(F.lit(True).alias("whole"), none.alias("l_returnflag")))).alias("g"), "a", "b").select("g.*", "a", "b")
+    counts = both.groupBy("whole", "l_returnflag").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("b") < F.col("a")).alias("improved"), F.max(F.col("b") - F.col("a")).alias("worst"))
+    for track in ("a", "b"):
+        found = stretches.quantiles(both, ["whole", "l_returnflag"], track, (0.5, 0.95)).select(F.col("whole").alias("all"), F.col("l_returnflag").alias("flag"), F.col("q").alias(f"p{track}"))
+        counts = counts.join(found, (F.col("whole") == F.col("all")) & F.col("l_returnflag").eqNullSafe(F.col("flag"))).drop("all", "flag")
+    return counts.select("l_returnflag", "n", F.round(F.col("pa")[0], 3).alias("a50"), F.round(F.col("pa")[1], 3).alias("a95"), F.round(F.col("pb")[0], 3).alias("b50"), F.round(F.col("pb")[1], 3).alias("b95"), "improved", F.round("worst", 3).alias("worst"), (F.col("pb")[0] <= F.col("pa")[0]).alias("gate"))
 
 
 def spearman(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,8 +72,8 @@ def round_robin(spark: SparkSession, sf_dir: str) -> DataFrame:
 def nearest_median(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per brand the part whose price is nearest the brand's median."""
     rows = table(spark, sf_dir, "part").select("p_brand", "p_partkey", "p_retailprice")
-    middle = rows.groupBy("p_brand").agg(F.median("p_retailprice").alias("m"))
-    return rows.join(F.broadcast(middle), "p_brand").groupBy("p_brand").agg(F.min_by("p_partkey", F.struct(F.abs(F.col("p_retailprice") - F.col("m")), "p_partkey")).alias("p_partkey"))
+    middle = stretches.quantiles(rows, ["p_brand"], "p_retailprice", (0.5,)).select("p_brand", F.col("q")[0].alias("m"))
+    return rows.join(middle, "p_brand").groupBy("p_brand").agg(F.min_by("p_partkey", F.struct(F.abs(F.col("p_retailprice") - F.col("m")), "p_partkey")).alias("p_partkey"))
 
 
 def monotone_check(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators import retrieval
+from tessera.operators import retrieval, stretches
 from tessera.plans.tables import table
 
 QUERY = ("the", "thing", "onand", "ones", "rely")
@@ -93,12 +93,10 @@ def hybrid_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def prompt_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct normalised contents per language, longest first, while they fit a budget of characters."""
-    from pyspark.sql import Window
-
     docs = table(spark, sf_dir, "documents").select("lang", "doc_id", F.md5(F.lower(F.regexp_replace(F.trim("text"), r"\s+", " "))).alias("same"), F.length("text").alias("size"))
     once = retrieval.first_per_id(docs, "same", ["doc_id"])
-    used = F.sum("size").over(Window.partitionBy("lang").orderBy("size", "doc_id").rowsBetween(Window.unboundedPreceding, 0))
-    return once.withColumn("used", used).where("used <= 20000").select("lang", "doc_id", "used")
+    laid = stretches.placed(once, ["lang"], ["size", "doc_id"], "size").withColumn("used", F.col("__used"))
+    return laid.where("used <= 20000").select("lang", "doc_id", "used")
 
 
 def similar_stems(spark: SparkSession, sf_dir: str) -> DataFrame:

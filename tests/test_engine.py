@@ -6,10 +6,11 @@ import json
 import math
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.functions import color, dates, formula, text
-from tessera.operators import batch, corpus, kernels, patches, retrieval, reviewing, rules, sequences, states
+from tessera.operators import batch, corpus, kernels, patches, retrieval, reviewing, rules, sequences, states, stretches
 from tessera.plans.stages import Plan, available
 from tessera.sources import files, sinks
 from tessera.streaming import streams
@@ -67,7 +68,7 @@ def test_selection_and_ranks(spark):
     plain = {r.i: r.confidence for r in batch.select_top(frame, ["g"], "s", "i").collect()}
     shared = {r.i: r.confidence for r in batch.select_top(frame, ["g"], "s", "i", ties_share=True).collect()}
     assert plain == {0: 0.96, 1: 0.94, 2: 0.82} and shared == {0: 0.96, 1: 0.96, 2: 0.82}
-    ranks = sorted(r.rank for r in corpus.average_ranks(frame, "s", "rank", slices=2).collect())
+    ranks = sorted(r.rank for r in corpus.average_ranks(frame, "s", "rank").collect())
     assert ranks == [1.0, 2.0, 3.5, 3.5]
     flat = spark.createDataFrame([(1.0, 2.0), (1.0, 3.0)], "x double, y double")
     assert corpus.spearman(flat, "x", "y").first().rho == 0.0
@@ -227,3 +228,43 @@ def test_search_counts_stems(spark):
     found = {r.k: r.score for r in retrieval.search(spark.createDataFrame(rows, "k int, t string"), "k", "t", ["cat", "dog"], top_k=None).collect()}
     first = math.log(1 + 4 / 1) * (1 + math.log(3)) + math.log(1 + 4 / 2) * (1 + math.log(2))
     assert found == {1: pytest.approx(first, abs=1e-4), 2: pytest.approx(math.log(3) * (1 + math.log(2)) * 0.8, abs=1e-4)}
+
+
+@pytest.fixture
+def many_stretches(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_stretches(spark, many_stretches):
+    """A hot key, a null key and a small one, cut into several stretches, against plain windows and percentiles."""
+    key = F.when(F.col("id") % 10 < 7, "hot").when(F.col("id") % 10 == 7, "small")
+    rows = spark.range(500).select(key.alias("k"), "id", F.pmod(F.hash("id"), 90).alias("size"), F.when(F.col("id") % 11 > 0, F.pmod(F.xxhash64("id"), 40).cast("double")).alias("v"))
+    rows = spark.createDataFrame(rows.collect(), rows.schema)
+    assert stretches.cut(rows, ["k"], ["size", "id"]).select("__stretch").distinct().count() > 2
+    w = Window.partitionBy("k").orderBy("size", "id")
+    plain = rows.select("id", F.row_number().over(w).alias("p"), F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("u"), F.count("*").over(Window.partitionBy("k")).alias("n"))
+    found = stretches.placed(rows, ["k"], ["size", "id"], "size").select("id", "__place", "__used", "__size")
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, plain.collect()))
+    at = (0.0, 0.25, 0.5, 0.9, 1.0)
+    exact = rows.groupBy("k").agg(F.percentile("v", F.array(*map(F.lit, at))).alias("q"))
+    assert {r.k: r.q for r in stretches.quantiles(rows, ["k"], "v", at).collect()} == {r.k: r.q for r in exact.collect()}
+    kept = batch.within_bytes(rows, ["k"], [F.desc("id")], "size", 200)
+    assert set(kept.columns) == {*rows.columns, "used"} and kept.where("used > 200").count() == 0
+    rights = rows.where("id % 5 = 0").select("k", F.col("id").alias("t"), F.col("size").alias("paid"))
+    lefts = rows.select("k", "id", F.col("id").alias("t"))
+    seen = {r.id: r.last_paid for r in corpus.as_of(lefts, rights, ["k"], "t", "paid", "id").collect()}
+    last: dict = {}
+    for r in sorted(rows.collect(), key=lambda r: r.id):
+        if r.id % 5 == 0:
+            last[r.k] = r["size"]
+        assert seen[r.id] == last.get(r.k)
+    times = rows.select("k", "id", F.timestamp_seconds(F.col("id") * 2 + F.floor(F.col("id") / 37) * 50).alias("t"))
+    split = sequences.global_bursts(times, "t", "id", 20.0, keys=["k"]).collect()
+    whole = sequences.bursts(times, ["k"], "t", "id", 20.0).collect()
+    assert {(r.id, r.island) for r in split} == {(r.id, r.island) for r in whole}
+    assert max(r.island for r in whole) > 5
+    ranks = {r.id: r.rank for r in corpus.average_ranks(rows.where("v is not null"), "v", "rank").collect()}
+    values = [r.v for r in rows.collect() if r.v is not None]
+    assert all(ranks[r.id] == sum(v < r.v for v in values) + (values.count(r.v) + 1) / 2 for r in rows.collect() if r.v is not None)
