@@ -43,14 +43,20 @@ def append(rows: DataFrame, path: str) -> None:
 
 
 def replace(rows: DataFrame, path: str) -> None:
-    """Overwrite a table that rows may be read from: written aside first, so that a failure loses nothing."""
+    """Overwrite a table that rows may be read from: written aside first; where overwriting fails, the error names the whole copy."""
     aside = shared_path(rows.sparkSession, "replace")
     rows.write.parquet(aside)
-    rows.sparkSession.read.schema(rows.schema).parquet(aside).write.mode("overwrite").parquet(path)
+    try:
+        rows.sparkSession.read.schema(rows.schema).parquet(aside).write.mode("overwrite").parquet(path)
+    except Exception as error:
+        raise RuntimeError(f"{path} was not replaced; its rows are whole in {aside}") from error
 
 
-def html_report(summary: DataFrame, title: str) -> str:
-    """A page with a table of a summary (a few rows of aggregates)."""
+def html_report(summary: DataFrame, title: str, most: int = 10_000) -> str:
+    """A page with a table of a summary (a few rows of aggregates); a summary of more than `most` rows is refused."""
+    rows = flat(summary).take(most + 1)
+    if len(rows) > most:
+        raise ValueError(f"a report has at most {most} rows; write a table instead")
     head = "".join(f"<th>{html.escape(c)}</th>" for c in summary.columns)
-    body = "".join("<tr>" + "".join(f"<td>{html.escape('' if v is None else str(v))}</td>" for v in row) + "</tr>" for row in flat(summary).collect())
+    body = "".join("<tr>" + "".join(f"<td>{html.escape('' if v is None else str(v))}</td>" for v in row) + "</tr>" for row in rows)
     return f"<!DOCTYPE html><html><head><meta charset='utf-8'><title>{html.escape(title)}</title></head><body><h1>{html.escape(title)}</h1><table><tr>{head}</tr>{body}</table></body></html>"

@@ -15,26 +15,40 @@ from tessera.sources import sinks
 from tessera.sources.shared import shared_path
 
 
-def events(spark: SparkSession, path: str) -> DataFrame:
-    """The event log as a stream of Parquet files, times with a zone. The path may be one file: as a pattern it isn't taken for a folder."""
-    return spark.readStream.schema(schemas.EVENTS).parquet(f"{path[:-1]}[{path[-1]}]").withColumn("ts", F.col("ts").cast("timestamp"))
+def events(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
+    """The event log as a stream of Parquet files, times with a zone. The path may be one file: as a pattern it isn't taken for a folder.
 
+    files_per_batch bounds a micro-batch, and with it what a keyed function holds of one key.
+    """
+    reader = spark.readStream.schema(schemas.EVENTS)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    return reader.parquet(f"{path[:-1]}[{path[-1]}]").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def drain(stream: DataFrame, mode: str, step: Callable[[DataFrame, int], None], folder: str) -> None:
+    """Process all that is new, batch by batch, and stop. A later call with the same folder goes on where this one stopped or failed.
 
-def drain(stream: DataFrame, mode: str, step: Callable[[DataFrame, int], None]) -> None:
-    """Process all that is there, batch by batch, and stop. Progress is kept in the shared folder."""
-    query = stream.writeStream.outputMode(mode).option("checkpointLocation", shared_path(stream.sparkSession, "stream")).foreachBatch(step).trigger(availableNow=True).start()
+    A batch that failed is given again with the same number, so a step that writes by number writes once.
+    """
+    query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/progress").foreachBatch(step).trigger(availableNow=True).start()
     query.awaitTermination()
 
 
-def to_table(stream: DataFrame, mode: str) -> DataFrame:
-    """The rows that a stream has given (append, update) or its last whole result (complete)."""
-    path = shared_path(stream.sparkSession, "stream-out")
+def to_table(stream: DataFrame, mode: str, folder: str | None = None) -> DataFrame:
+    """The rows that a stream has given (append, update) or its last whole result (complete), over all calls with the folder.
+
+    Every batch has a sub-folder of its number, which a repeated batch overwrites. Without a folder a new one is taken.
+    """
+    spark = stream.sparkSession
+    folder = folder or shared_path(spark, "stream")
+    spark.createDataFrame([], stream.schema).write.mode("overwrite").parquet(f"{folder}/rows/none")
 
     def step(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(path)
+        batch.write.mode("overwrite").parquet(f"{folder}/rows/{'whole' if mode == 'complete' else number}")
 
-    drain(stream, mode, step)
-    return stream.sparkSession.read.schema(stream.schema).parquet(path)
+    drain(stream, mode, step, folder)
+    return spark.read.schema(stream.schema).option("recursiveFileLookup", "true").parquet(f"{folder}/rows")
 
 
 def sessions(stream: DataFrame, gap: str, lateness: str = "30 days") -> DataFrame:
@@ -86,16 +100,34 @@ def transitions(stream: DataFrame) -> DataFrame:
     return stream.groupBy("key").applyInPandasWithState(step, "key long, seq long, before string, target string, verdict string", "state string, rollbacks long", "append", GroupStateTimeout.NoTimeout)
 
 
-def upsert_table(stream: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """The last row per key of a stream, kept as a table that every batch is merged into."""
+def upsert_table(stream: DataFrame, keys: list[str], order: str, folder: str | None = None, buckets: int = 64) -> DataFrame:
+    """The last row per key of a stream, kept as a table that every batch is merged into, over all calls with the folder.
+
+    Keys are dealt into buckets, and a batch writes only the buckets that it changes, under its number; a small log says which
+    batch wrote a bucket last. A repeated batch starts from the versions before it and overwrites its own.
+    """
     spark = stream.sparkSession
-    paths: list[str] = []
+    folder = folder or shared_path(spark, "upsert")
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+    log = "bucket int, version long"
+    spark.createDataFrame([], log).write.mode("overwrite").parquet(f"{folder}/log/none")
 
-    def step(batch: DataFrame, number: int) -> None:
-        current = spark.read.schema(batch.schema).parquet(paths[-1]) if paths else None
-        new = shared_path(spark, "upsert")
-        sinks.upsert(current, batch, keys, order).write.parquet(new)
-        paths.append(new)
+    def versions(until: int | None = None) -> dict[int, int]:
+        """Bucket -> the batch that wrote it last: at most one entry per bucket."""
+        entries = spark.read.schema(log).option("recursiveFileLookup", "true").parquet(f"{folder}/log")
+        kept = entries if until is None else entries.where(F.col("version") < until)
+        return {r.bucket: r.version for r in kept.groupBy("bucket").agg(F.max("version").alias("version")).collect()}
+
+    def rows(found: dict[int, int]) -> DataFrame:
+        paths = [f"{folder}/rows/{version}/__bucket={at}" for at, version in sorted(found.items())]
+        return spark.read.schema(stream.schema).parquet(*paths) if paths else spark.createDataFrame([], stream.schema)
 
-    drain(stream, "append", step)
-    return spark.read.schema(stream.schema).parquet(paths[-1]) if paths else spark.createDataFrame([], stream.schema)
+    def step(batch: DataFrame, number: int) -> None:
+        touched = [r.bucket for r in batch.select(bucket.alias("bucket")).distinct().collect()]
+        current = rows({at: version for at, version in versions(number).items() if at in touched})
+        merged = sinks.upsert(current, batch, keys, order).withColumn("__bucket", bucket)
+        merged.repartition("__bucket").write.mode("overwrite").partitionBy("__bucket").parquet(f"{folder}/rows/{number}")
+        spark.createDataFrame([(at, number) for at in touched], log).coalesce(1).write.mode("overwrite").parquet(f"{folder}/log/{number}")
+
+    drain(stream, "append", step, folder)
+    return rows(versions())

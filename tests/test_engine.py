@@ -268,3 +268,37 @@ def test_stretches(spark, many_stretches):
     ranks = {r.id: r.rank for r in corpus.average_ranks(rows.where("v is not null"), "v", "rank").collect()}
     values = [r.v for r in rows.collect() if r.v is not None]
     assert all(ranks[r.id] == sum(v < r.v for v in values) + (values.count(r.v) + 1) / 2 for r in rows.collect() if r.v is not None)
+
+
+def test_streams_resume(spark, tmp_path, monkeypatch):
+    """A batch that fails is given again; a later call with the folder adds to what is there, without repeats."""
+    source = str(tmp_path / "in")
+
+    def put(*rows):
+        spark.createDataFrame(rows, "k long, seq long, v string").coalesce(1).write.mode("append").parquet(source)
+
+    def stream():
+        return spark.readStream.schema("k long, seq long, v string").option("maxFilesPerTrigger", 1).parquet(source)
+
+    folder, log = str(tmp_path / "table"), str(tmp_path / "log")
+    put((1, 1, "a"), (2, 2, "b"))
+    assert sorted(map(tuple, streams.upsert_table(stream(), ["k"], "seq", folder).collect())) == [(1, 1, "a"), (2, 2, "b")]
+    assert streams.to_table(stream(), "append", log).count() == 2
+    put((2, 3, "c"), (2, 4, "d"), (3, 5, "e"))
+    merge = sinks.upsert
+
+    def fails(*args):
+        raise OSError("lost")
+
+    monkeypatch.setattr(sinks, "upsert", fails)
+    with pytest.raises(Exception, match="lost"):
+        streams.upsert_table(stream(), ["k"], "seq", folder)
+    monkeypatch.setattr(sinks, "upsert", merge)
+    for _ in range(2):
+        assert sorted(map(tuple, streams.upsert_table(stream(), ["k"], "seq", folder).collect())) == [(1, 1, "a"), (2, 4, "d"), (3, 5, "e")]
+        assert streams.to_table(stream(), "append", log).count() == 5
+
+
+def test_report_size(spark):
+    with pytest.raises(ValueError, match="at most 3 rows"):
+        sinks.html_report(spark.range(4), "t", most=3)
