@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import analytics, decide, edits, geometry, jobs, kernels, knowledge, measure, reviewing, scalars, sequences, streams
+from tessera.plans import analytics, decide, edits, geometry, jobs, kernels, knowledge, measure, reviewing, scalars, sequences, streams, trails
 
-_MODULES = (decide, sequences, knowledge, measure, analytics, scalars, streams, edits, geometry, jobs, kernels, reviewing)
+_MODULES = (decide, sequences, knowledge, measure, analytics, scalars, streams, edits, geometry, jobs, kernels, reviewing, trails)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLES: dict[str, str] = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}

@@ -10,9 +10,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.functions import color, dates, formula, text
-from tessera.operators import batch, corpus, kernels, patches, retrieval, reviewing, rules, sequences, states, stretches
+from tessera.operators import batch, corpus, kernels, patches, retrieval, reviewing, rules, sequences, states, stretches, trails
 from tessera.plans.stages import Plan, available
-from tessera.sources import files, sinks
+from tessera.sources import files, rule_files, sinks
 from tessera.streaming import streams
 
 
@@ -302,3 +302,27 @@ def test_streams_resume(spark, tmp_path, monkeypatch):
 def test_report_size(spark):
     with pytest.raises(ValueError, match="at most 3 rows"):
         sinks.html_report(spark.range(4), "t", most=3)
+
+
+def test_rule_files(spark, tmp_path):
+    pack = rule_files.load_rules(spark, [rule_files.to_record(r) for r in rules.PACK] + ["no record"])
+    assert pack == rules.PACK
+    path = tmp_path / "pack.json"
+    path.write_text(json.dumps({"rule_id": "r", "condition": {"metric": "m", "op": "<", "value": 1}, "action": {"param": "p", "formula": "mm + 1", "conflict_policy": "high_priority_wins"}}))
+    (rule,) = rule_files.load_rules(spark, str(path))
+    assert (rule.rule_id, rule.priority, rule.conditions[0].op, rule.enabled) == ("r", None, "<", True)
+    with pytest.raises(ValueError, match="mm"):
+        rule_files.load_rules(spark, str(path), {"m"})
+    for broken in ({"action": {"param": "p", "conflict_policy": "last"}}, {"action": {}}, {"condition": {"metric": "m", "op": "~", "value": 1}, "action": {"param": "p"}}, 7):
+        with pytest.raises(ValueError):
+            rule_files.load_rules(spark, broken)
+
+
+def test_trails(spark):
+    rows = spark.createDataFrame([(1, None), (2, "a"), (3, "a"), (4, None), (5, None)], "id long, f string").withColumn("k", F.lit(1))
+    assert [(r.reset, r.age) for r in trails.sticky(rows, ["k"], ["id"], "f").orderBy("id").collect()] == [(True, 0), (True, 0), (False, 1), (True, 0), (False, 1)]
+    assert trails.spread_sample(rows.limit(1), ["k"], ["id"], 3).count() == 1
+    picked = trails.spread_sample(rows, ["k"], ["id"], 3, F.col("id") == 4)
+    assert [r.id for r in picked.orderBy("id").collect()] == [1, 3, 4, 5]
+    one = spark.range(1).select(trails.promotes(F.lit(1.0), F.lit(None).cast("double"), 0.1, 0.1), trails.promotes(F.lit(-8.9), F.lit(-10.0), 0.5, 0.1), trails.promotes(F.lit(-9.1), F.lit(-10.0), 0.5, 0.1)).first()
+    assert tuple(one) == (False, True, False)
