@@ -61,11 +61,28 @@ def global_bursts(frames: DataFrame, time: str, tie: str, gap: float, keys: Sequ
 
 def run_lengths(rows: DataFrame, keys: Sequence[str], order: Sequence[str], below: Column, needed: int) -> DataFrame:
     """Add streak (consecutive rows for which below holds, 0 after a breach or a null) and converged (streak >= needed)."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    marked = rows.withColumn("__ok", F.coalesce(below, F.lit(False))).withColumn("__island", F.sum((~F.col("__ok")).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    inside = Window.partitionBy(*keys, "__island").orderBy(*order)
-    streak = F.sum(F.col("__ok").cast("int")).over(inside.rowsBetween(Window.unboundedPreceding, 0))
-    return marked.withColumn("streak", streak).withColumn("converged", F.col("streak") >= needed).drop("__ok", "__island")
+    marked = stretches.since(stretches.cut(rows.withColumn("__ok", F.coalesce(below, F.lit(False))), keys, order), keys, order, ~F.col("__ok"))
+    return marked.withColumnRenamed("__since", "streak").withColumn("converged", F.col("streak") >= needed).drop("__ok")
+
+
+def contains_chain(events: DataFrame, key: str, kind: str, order: Sequence[str], wanted: Sequence[str]) -> DataFrame:
+    """(key, found): whether a key's events contain the wanted kinds in this order, each after the one before.
+
+    The earliest event that ends each prefix of the chain is found by a partial aggregation per step, so no key's events meet in
+    one row; the steps are as many as kinds are wanted. An empty chain is in every key; a null key
+    holds no other.
+    """
+    keys, at = events.select(key).distinct(), F.struct(*[F.col(o) for o in order])
+    reached = None
+    for step in wanted:
+        rows = events.where(F.col(kind) == step).select(key, at.alias("__at"))
+        if reached is not None:
+            rows = rows.join(reached, key).where(F.col("__at") > F.col("__from"))
+        reached = rows.groupBy(key).agg(F.min("__at").alias("__from"))
+    if reached is None:
+        return keys.withColumn("found", F.lit(True))
+    ends = reached.select(F.col(key).alias("__key"), F.lit(True).alias("__hit"))
+    return keys.join(ends, F.col(key).eqNullSafe(F.col("__key")), "left").select(key, F.coalesce("__hit", F.lit(False)).alias("found"))
 
 
 def latest(rows: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:

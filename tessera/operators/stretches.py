@@ -62,6 +62,40 @@ def placed(rows: DataFrame, keys: Sequence[str], order: Sequence[str | Column],
     return out.drop("__at", "__sum", "__shift", "__below")
 
 
+def previous(dealt: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, name: str) -> DataFrame:
+    """Add name to cut rows: a struct with the value (v) of the row before in its key, null on the key's first row."""
+    inside, held = Window.partitionBy(*keys, "__stretch").orderBy(*columns(order)), F.struct(F.col(value).alias("v"))
+    local = dealt.withColumn(name, F.lag(held).over(inside))
+    ends = dealt.groupBy(*keys, "__stretch").agg(F.max_by(held, F.struct(*columns(order))).alias("__end"))
+    ends = ends.select(*keys, "__stretch", F.lag("__end").over(Window.partitionBy(*keys).orderBy("__stretch")).alias("__tail"))
+    return carry(local.withColumn("__stretch_too", F.col("__stretch")), ends, keys).withColumnRenamed("__stretch_too", "__stretch").withColumn(name, F.coalesce(name, "__tail")).drop("__tail")
+
+
+def since(dealt: DataFrame, keys: Sequence[str], order: Sequence[str], marked: Column) -> DataFrame:
+    """Add __since to cut rows and drop the stretch: rows from the last marked one (0 there) to this one; before any, the place from 1."""
+    inside = Window.partitionBy(*keys, "__stretch").orderBy(*columns(order))
+    local = dealt.withColumn("__at", F.row_number().over(inside)).withColumn("__mark", F.when(marked, F.col("__at")))
+    local = local.withColumn("__mark", F.max("__mark").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    ends = local.groupBy(*keys, "__stretch").agg(F.count(F.lit(1)).alias("__n"), F.max("__mark").alias("__last"))
+    ends = ends.withColumn("__shift", F.coalesce(F.sum("__n").over(before(keys)), F.lit(0)))
+    ends = ends.select(*keys, "__stretch", "__shift", F.coalesce(F.max(F.col("__last") + F.col("__shift")).over(before(keys)), F.lit(0)).alias("__carried"))
+    last = F.coalesce(F.col("__mark") + F.col("__shift"), F.col("__carried"))
+    return carry(local, ends, keys).withColumn("__since", F.col("__at") + F.col("__shift") - last).drop("__at", "__mark", "__shift", "__carried")
+
+
+def digests(rows: DataFrame, keys: Sequence[str], order: Sequence[str], text: Column, block: int = 1000) -> DataFrame:
+    """(keys, n, digest): a digest of each key's ordered texts, by blocks of a fixed number of rows.
+
+    The rows of a block are joined by commas and digested (MD5); the block digests, joined likewise, are digested again, so that
+    no row holds a key's whole list and the result is the same however the rows are dealt. Null texts are empty.
+    """
+    laid = placed(rows.select(*dict.fromkeys([*keys, *order]), F.coalesce(text, F.lit("")).alias("__text")), keys, order)
+    blocks = laid.groupBy(*keys, F.floor((F.col("__place") - 1) / block).alias("__block")).agg(F.count(F.lit(1)).alias("__n"), F.array_sort(F.collect_list(F.struct("__place", "__text"))).alias("__rows"))
+    each = blocks.select(*keys, "__n", F.struct("__block", F.md5(F.array_join(F.transform("__rows", lambda r: r["__text"]), ",")).alias("d")).alias("__part"))
+    whole = each.groupBy(*keys).agg(F.sum("__n").alias("n"), F.array_sort(F.collect_list("__part")).alias("__parts"))
+    return whole.select(*keys, "n", F.md5(F.array_join(F.transform("__parts", lambda r: r["d"]), ",")).alias("digest"))
+
+
 def quantiles(rows: DataFrame, by: Sequence[str], value: str, at: Sequence[float]) -> DataFrame:
     """(by, q): the exact quantiles of value per group as an array, interpolated between neighbours; groups without a value are left out.
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators import stretches
@@ -36,11 +36,9 @@ def promotes(trial: Column, current: Column, least: float, relative: float) -> C
 
 def sticky(rows: DataFrame, keys: Sequence[str], order: Sequence[str], fingerprint: str) -> DataFrame:
     """Add reset (the fingerprint differs from the row before, nulls equal; the first row resets) and age (rows since the reset, from 0)."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    first = F.row_number().over(w) == 1
-    marked = rows.withColumn("reset", first | ~F.col(fingerprint).eqNullSafe(F.lag(fingerprint).over(w)))
-    marked = marked.withColumn("__run", F.sum(F.col("reset").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return marked.withColumn("age", F.row_number().over(Window.partitionBy(*keys, "__run").orderBy(*order)) - 1).drop("__run")
+    dealt = stretches.previous(stretches.cut(rows, keys, order), keys, order, fingerprint, "__before")
+    marked = dealt.withColumn("reset", F.col("__before").isNull() | ~F.col(fingerprint).eqNullSafe(F.col("__before.v"))).drop("__before")
+    return stretches.since(marked, keys, order, F.col("reset")).withColumnRenamed("__since", "age")
 
 
 def regions(pixels: DataFrame, masks: Sequence[tuple[str, float, int, int, int, int]], key: str, value: str) -> DataFrame:

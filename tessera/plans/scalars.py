@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import dates, text
+from tessera.operators import sequences, stretches
 from tessera.plans.tables import table
 
 # Degree words and intent rules of the feedback queries (in order; the first match counts).
@@ -77,9 +78,10 @@ def url_slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The number inside each event's JSON, its sum per user, and a fingerprint of the sorted keys and values."""
+    """The number inside each event's JSON, its sum per user, and a fingerprint by blocks of the ordered keys and values."""
     rows = table(spark, sf_dir, "events").select("user_id", "event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
-    return rows.groupBy("user_id").agg(F.sum("k").alias("total"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "k"))), lambda x: F.concat_ws("=", x["event_id"].cast("string"), x["k"].cast("string"))), ","), 256).alias("fingerprint"))
+    prints = stretches.digests(rows, ["user_id"], ["event_id"], F.concat_ws("=", F.col("event_id").cast("string"), F.col("k").cast("string")))
+    return rows.groupBy("user_id").agg(F.sum("k").alias("total")).join(prints.select(F.col("user_id").alias("of"), F.col("digest").alias("fingerprint")), F.col("user_id").eqNullSafe(F.col("of"))).drop("of")
 
 
 def param_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,8 +91,7 @@ def param_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def subsequence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Users whose event types contain signup, click, purchase in this order."""
-    types = table(spark, sf_dir, "events").groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "event_type"))), lambda x: x["event_type"]).alias("types"))
-    return types.select("user_id", text.is_subsequence(F.array(F.lit("signup"), F.lit("click"), F.lit("purchase"), F.lit("signup")), F.col("types")).alias("found"))
+    return sequences.contains_chain(table(spark, sf_dir, "events"), "user_id", "event_type", ["ts", "event_id"], ["signup", "click", "purchase", "signup"])
 
 
 QUERIES = {f.__name__: f for f in (sentence_split, intents_parse, intents_apply, style_rules, exif_normalise, shutter_text, daylight, time_parse, url_slugs, json_props, param_fingerprint, subsequence)}
@@ -128,7 +129,9 @@ ORACLES = {
         SELECT page_id, regexp_replace(regexp_replace(lower(url), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') AS slug,
                CASE WHEN page_id % 4 = 0 OR page_id % 9 = 0 THEN NULL ELSE round((page_id % 9) / (page_id % 4), 6) END AS aspect, true AS path FROM pages""",
     "json_props": """
-        SELECT user_id, sum(CAST(json_extract_string(props, '$.k') AS BIGINT))::BIGINT AS total, sha256(string_agg(event_id || '=' || json_extract_string(props, '$.k'), ',' ORDER BY event_id)) AS fingerprint FROM events GROUP BY user_id""",
+        WITH p AS (SELECT user_id, event_id, json_extract_string(props, '$.k') AS k, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS place FROM events),
+        b AS (SELECT user_id, (place - 1) // 1000 AS block, sum(CAST(k AS BIGINT)) AS total, md5(string_agg(event_id || '=' || k, ',' ORDER BY place)) AS d FROM p GROUP BY ALL)
+        SELECT user_id, sum(total)::BIGINT AS total, md5(string_agg(d, ',' ORDER BY block)) AS fingerprint FROM b GROUP BY user_id""",
     "param_fingerprint": "SELECT p_partkey, sha256(p_name || chr(31) || p_brand || chr(31) || p_size) AS fingerprint FROM part",
     "subsequence": """
         WITH s AS (SELECT user_id, (ts, event_id) AS k, event_type AS t FROM events), a AS (SELECT user_id, min(k) AS k FROM s WHERE t = 'signup' GROUP BY 1), b AS (SELECT s.user_id, min(s.k) AS k FROM s JOIN a USING (user_id) WHERE t = 'click' AND s.k > a.k GROUP BY 1),

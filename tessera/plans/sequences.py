@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.operators import batch, sequences, states
+from tessera.operators import batch, sequences, states, stretches
 from tessera.plans.tables import table
 
 
@@ -117,9 +117,9 @@ def trace_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def trace_group_by_param(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ordered event ids of each user and type, as a digest of the list and its size."""
-    found = table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.sort_array(F.collect_list("event_id")).alias("ids"))
-    return found.select("user_id", "event_type", F.size("ids").alias("events"), F.md5(F.array_join(F.transform("ids", lambda x: x.cast("string")), ",")).alias("digest"))
+    """The ordered event ids of each user and type, as a digest by blocks of the list and its size."""
+    found = stretches.digests(table(spark, sf_dir, "events"), ["user_id", "event_type"], ["event_id"], F.col("event_id").cast("string"))
+    return found.withColumnRenamed("n", "events")
 
 
 def trace_param_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -249,7 +249,10 @@ ORACLES = {
         r AS (SELECT user_id, event_id, sum(CASE WHEN value < 23 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id, g ORDER BY ts, event_id) AS streak FROM s)
         SELECT user_id, event_id, streak, streak >= 2 AS converged FROM r""",
     "trace_filter": "SELECT event_id, value FROM events WHERE event_type = 'click' AND user_id = 7",
-    "trace_group_by_param": "SELECT user_id, event_type, count(*) AS events, md5(string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY event_id)) AS digest FROM events GROUP BY ALL",
+    "trace_group_by_param": """
+        WITH p AS (SELECT user_id, event_type, event_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS place FROM events),
+        b AS (SELECT user_id, event_type, (place - 1) // 1000 AS block, count(*) AS n, md5(string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY place)) AS d FROM p GROUP BY ALL)
+        SELECT user_id, event_type, sum(n)::BIGINT AS events, md5(string_agg(d, ',' ORDER BY block)) AS digest FROM b GROUP BY ALL""",
     "trace_param_delta": """
         WITH s AS (SELECT conv_id, turn, role, length(text) AS chars, CASE WHEN role = 'user' THEN length(text) END AS u FROM conversations)
         SELECT conv_id, turn, role, last_value(u IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn, role ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_user_chars,
