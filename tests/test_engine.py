@@ -326,3 +326,57 @@ def test_trails(spark):
     assert [r.id for r in picked.orderBy("id").collect()] == [1, 3, 4, 5]
     one = spark.range(1).select(trails.promotes(F.lit(1.0), F.lit(None).cast("double"), 0.1, 0.1), trails.promotes(F.lit(-8.9), F.lit(-10.0), 0.5, 0.1), trails.promotes(F.lit(-9.1), F.lit(-10.0), 0.5, 0.1)).first()
     assert tuple(one) == (False, True, False)
+
+
+def test_runs_and_sticky_states_across_stretches_equal_plain_windows(spark):
+    from tessera.operators import sequences, trails
+
+    rows = [(None if i % 13 == 0 else i % 2 * (i % 3), i, None if i % 11 == 0 else "ab"[i // 7 % 2], i % 5) for i in range(400)]
+    frame = spark.createDataFrame(rows, "k int, i int, s string, v int").repartition(7)
+    runs = {r.i: (r.streak, r.converged) for r in sequences.run_lengths(frame, ["k"], ["i"], F.col("v") < 3, 2).collect()}
+    states = {r.i: (r.reset, r.age) for r in trails.sticky(frame, ["k"], ["i"], "s").collect()}
+    last = {}
+    for k, i, s, v in rows:
+        streak, before, age = last.get(k, (0, "none", 0))
+        streak, reset = streak + 1 if v < 3 else 0, before != s
+        age = 0 if reset else age + 1
+        last[k] = (streak, s, age)
+        assert runs[i] == (streak, streak >= 2)
+        assert states[i] == (reset, age)
+    assert len(runs) == len(states) == 400
+
+
+def test_chains_and_digests_without_lists_per_key(spark):
+    import hashlib
+
+    from tessera.operators import sequences, stretches
+
+    events = spark.createDataFrame([(1, 1, "a"), (1, 2, "b"), (1, 3, "a"), (2, 1, "b"), (2, 2, "a"), (3, 1, None), (None, 1, "a"), (None, 2, "b")], "k int, t int, e string")
+    found = {r.k: r.found for r in sequences.contains_chain(events, "k", "e", ["t"], ["a", "b", "a"]).collect()}
+    assert found == {1: True, 2: False, 3: False, None: False}
+    assert all(r.found for r in sequences.contains_chain(events, "k", "e", ["t"], []).collect())
+    rows = spark.createDataFrame([(None if i % 3 == 0 else 1, i, str(i) if i % 4 else None) for i in range(50)], "k int, i int, t string").repartition(5)
+    digests = {r.k: (r.n, r.digest) for r in stretches.digests(rows, ["k"], ["i"], F.col("t"), 7).collect()}
+    for key, ids in ((None, [i for i in range(50) if i % 3 == 0]), (1, [i for i in range(50) if i % 3])):
+        texts = [str(i) if i % 4 else "" for i in ids]
+        parts = [hashlib.md5(",".join(texts[n : n + 7]).encode()).hexdigest() for n in range(0, len(texts), 7)]
+        assert digests[key] == (len(ids), hashlib.md5(",".join(parts).encode()).hexdigest())
+    assert stretches.digests(rows.limit(0), ["k"], ["i"], F.col("t")).count() == 0
+
+
+def test_prompts_boxes_and_changes(spark):
+    from tessera.operators import records
+
+    rows = [("q", 1, "L", "Same  text", 0.5), ("q", 2, "", "same TEXT", 0.9), ("q", 3, "M", "x" * 2000, 0.4), ("q", 4, "N", "late", 0.1), ("e", 5, "L", " ", 1.0), ("n", 6, None, "only", None)]
+    found = {r.k: r.prompt for r in records.prompt(spark.createDataFrame(rows, "k string, i int, l string, c string, f double"), "k", "l", "c", "f", "i").collect()}
+    assert set(found) == {"q", "n"} and found["n"] == "[知识] only (conf=0.00)"
+    assert found["q"].startswith("[知识] same TEXT (conf=0.90)\n[M] xxx") and found["q"].endswith("x…") and len(found["q"]) == 1200
+    one = spark.range(1)
+    none, big, small = F.lit(None).cast("array<array<double>>"), F.array(F.array(*[F.lit(x) for x in (0.0, 0.0, 0.5, 0.5)])), F.array(F.array(*[F.lit(x) for x in (0.0, 0.0, 0.05, 0.05)]))
+    boxes = one.select(records.main_box(none, big).alias("a"), records.main_box(small, big).alias("b"), records.main_box(none, none).alias("c")).first()
+    assert boxes.a == [0.0, 0.0, 0.5, 0.5] and boxes.b is None and boxes.c is None
+    maps = [F.from_json(F.lit(t), "map<string,string>") for t in ('{"a":"1","b":"2","c":"3","d":"4","e":"5"}', '{"a":"1"}')]
+    summary = one.select(records.change_summary(maps[1], maps[0]).alias("s"), records.change_summary(F.lit(None).cast("map<string,string>"), maps[1]).alias("n"), records.change_summary(maps[0], F.lit(None).cast("map<string,string>")).alias("m")).first()
+    assert summary.s == "b: None → 2, c: None → 3, d: None → 4, e: None → 5" and summary.n == "a: None → 1" and summary.m.endswith(" (+1 more)")
+    weights = one.select(records.knot_weights(F.lit(1.5), [1.0, 2.0, 4.0]).alias("a"), records.knot_weights(F.lit(2.0), [1.0, 2.0, 4.0]).alias("b"), records.knot_weights(F.lit(9.0), [1.0, 2.0]).alias("c"), records.knot_weights(F.lit(None).cast("double"), [1.0, 2.0]).alias("d")).first()
+    assert [tuple(w) for w in weights.a] == [(0, 0.5), (1, 0.5)] and [tuple(w) for w in weights.b] == [(1, 1.0)] and [tuple(w) for w in weights.c] == [(1, 1.0)] and weights.d is None
