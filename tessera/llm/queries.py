@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, cross_polytope, fuzzy_hash, html_text, language, packing, secret_scan, simhash, span_dedup, url_rules
+from tessera.llm import bpe, cross_polytope, fuzzy_hash, html_text, language, lexical, packing, secret_scan, simhash, span_dedup, url_rules, warc, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -81,6 +81,23 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The captures of pages, written to WARC archives and read back; a page's id gives the second of its capture."""
+    pages = _table(spark, sf_dir, "pages")
+    captured = F.timestamp_seconds(F.lit(1_577_836_800) + F.pmod("page_id", F.lit(1_000_000_000)))
+    return warc.archive(pages, captured).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings whitened on their first 16 components."""
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 best documents for every benchmark item."""
+    return lexical.rank(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html": op1_html,
     "op2_secrets": op2_secrets,
@@ -92,6 +109,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_polytope": op9_polytope,
     "op10_bpe": op10_bpe,
+    "op11_warc": op11_warc,
+    "op12_whitening": op12_whitening,
+    "op13_lexical": op13_lexical,
 }
 
 ORACLES: dict[str, str] = {
@@ -114,4 +134,41 @@ ORACLES: dict[str, str] = {
         )
         SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM fits WHERE place = 1
     """,
+    "op11_warc": """
+        WITH sized AS (
+            SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
+        ), judged AS (
+            SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest) END AS kept FROM sized
+        )
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN kept > coalesce(page_id, kept - 1) THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN kept > coalesce(page_id, kept - 1) THEN kept END AS refers_to
+        FROM judged
+    """,
+    "op13_lexical": r"""
+        WITH words AS (
+            SELECT doc_id, row_number() OVER () AS line,
+                   regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+            FROM documents
+        ), whole AS (
+            SELECT count(*)::HUGEINT AS n_docs, sum(len(terms))::HUGEINT AS n_terms FROM words WHERE len(terms) > 0
+        ), wanted AS (
+            SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+            FROM benchmark
+        ), counted AS (
+            SELECT doc_id, line, n, term, count(*)::BIGINT AS tf
+            FROM (SELECT doc_id, line, len(terms) AS n, unnest(terms) AS term FROM words)
+            WHERE term IN (SELECT term FROM wanted) GROUP BY ALL
+        ), weights AS (
+            SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w
+            FROM counted, whole GROUP BY term, n_docs
+        ), scored AS (
+            SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * n_docs) // n_terms))))::BIGINT AS score
+            FROM counted JOIN weights USING (term) JOIN wanted USING (term), whole GROUP BY item_id, doc_id, line
+        ), placed AS (
+            SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST)::INTEGER AS rank, doc_id, score
+            FROM scored WHERE score > 0
+        )
+        SELECT item_id, rank, doc_id, score FROM placed WHERE rank <= 50
+    """,
 }
