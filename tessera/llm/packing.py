@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import functools
 import json
+import re
 import struct
 import zlib
 from array import array
@@ -23,10 +24,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tessera.llm.common import map_batches, materialize, text_or_empty
+from tessera.llm.common import map_batches, materialize, text_or_empty, unused
 
 CAPACITY = 1024
 END_ID = 2
+#: tiktoken's splitter goes back over runs of blanks and gives up near a million; texts with a run of this length take the other encoder.
+LONG_BLANKS = re.compile(r"\s{50000}")
 
 
 class _Encoder:
@@ -34,7 +37,8 @@ class _Encoder:
 
     The vocabulary file of the tokenizers library is read once more as ranks, which tiktoken's faster byte-pair encoder takes;
     ids agree because the file numbers its tokens in the order of their merges (compared on every code point and on random
-    strings). Texts with an added token, and vocabularies of another form, go to the tokenizers library itself.
+    strings). Texts with an added token or a very long run of blanks, and vocabularies of another form, go to the tokenizers
+    library itself.
     """
 
     def __init__(self, path: str) -> None:
@@ -51,7 +55,7 @@ class _Encoder:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def encode(self, text: str) -> bytes:
-        if self.fast is None or any(t in text for t in self.added):
+        if self.fast is None or any(t in text for t in self.added) or LONG_BLANKS.search(text):
             return self.whole(text)
         return array("I", self.fast.encode_ordinary(text)).tobytes()
 
@@ -187,22 +191,23 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, in
 def pack(cut_pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Add sequence_id and offset to pieces (doc_id, piece, length, ...).
 
-    Ties among pieces of a length go by doc_id and piece; repeated rows are packed once each. An empty table stays empty.
-    Pieces are ranked within salted groups whose counts per length are summed beforehand, so no length meets in one task.
+    Repeated rows are packed once each. An empty table stays empty. Pieces are ranked within salted groups whose counts per
+    length are summed beforehand, so no length meets in one task; the salt is written with the rows and differs between rows
+    that are equal, null ids too.
     """
     spark = cut_pieces.sparkSession
-    stored = materialize(cut_pieces, "packing")
+    names, salt = cut_pieces.columns, unused(cut_pieces.columns, "salt")
+    stored = materialize(cut_pieces.withColumn(salt, F.xxhash64(F.monotonically_increasing_id())), "packing")
     total = stored.count()
     buckets = max(256, total // 50_000)
-    salted = stored.withColumn("__bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)))
+    salted = stored.withColumn("__bucket", F.pmod(salt, F.lit(buckets)))
     counts = materialize(salted.groupBy("length", "__bucket").agg(F.count(F.lit(1)).alias("rows")), "packing-counts")
     histogram = {int(r["length"]): int(r["rows"]) for r in counts.groupBy("length").agg(F.sum("rows").alias("rows")).collect()}
     places = spark.createDataFrame(plan(histogram, capacity), "length long, low long, high long, base long, each long, at long")
     before = Window.partitionBy("length").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("length", "__bucket", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("__before"))
-    ranked = salted.withColumn("__rank", F.row_number().over(Window.partitionBy("__bucket", "length").orderBy("doc_id", "piece")) - 1)
+    ranked = salted.withColumn("__rank", F.row_number().over(Window.partitionBy("__bucket", "length").orderBy("doc_id", "piece", salt)) - 1)
     ranked = ranked.join(starts, ["length", "__bucket"]).withColumn("__rank", F.col("__rank") + F.col("__before"))
     placed = ranked.join(F.broadcast(places), "length").where("__rank >= low and __rank < high")
     step = F.col("__rank") - F.col("low")
-    extra = [c for c in stored.columns]
-    return placed.select(*extra, (F.col("base") + F.floor(step / F.col("each"))).cast("long").alias("sequence_id"), (F.col("at") + step % F.col("each") * F.col("length")).cast("long").alias("offset"))
+    return placed.select(*names, (F.col("base") + F.floor(step / F.col("each"))).cast("long").alias("sequence_id"), (F.col("at") + step % F.col("each") * F.col("length")).cast("long").alias("offset"))
