@@ -63,11 +63,15 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def random_spans(text: str, base: list[tuple[int, int, int]], path: str) -> list[tuple[int, int, int]]:
-    """(start, kind number, end) of random-looking strings outside the base spans."""
+    """(start, kind number, end) of random-looking strings outside the base spans, which are in order of their starts."""
     spans = []
+    at, reach = 0, 0
     for m in CANDIDATE.finditer(text):
         word = m.group()
-        if any(s < m.end() and m.start() < e for s, _, e in base):
+        while at < len(base) and base[at][0] < m.end():
+            reach = max(reach, base[at][2])
+            at += 1
+        if m.start() < reach:
             continue
         costly = [len(part) for part in _costly_segments(word, path)]
         if costly and (max(costly) >= LONG_SEGMENT or (sum(costly) >= COSTLY_SHARE * len(word) and _costly(word, path))):
