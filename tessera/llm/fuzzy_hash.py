@@ -16,7 +16,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType
+from pyspark.sql.types import ArrayType, IntegerType, LongType
 
 from tessera.llm.common import text_or_empty
 
@@ -24,11 +24,13 @@ MAX_CHUNKS = 64
 SMALLEST_BLOCK = 4
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
 PAIRS = [a + b for a in LETTERS for b in LETTERS]
-#: Rows of a stretch of neighbouring ids that are edited together, and the most stretches.
+#: Rows that a stretch of neighbours has at least, about, and the stretches that a task gets at most, about.
 STRETCH_ROWS = 1000
-MAX_STRETCHES = 20_000
+STRETCHES_A_TASK = 20
 #: Stands for a null doc_id, which comes after all others in descending order.
 NO_ID = -(1 << 63)
+#: Bits of a text's hash that order rows of one id.
+TAG_BITS = 31
 
 MULTIPLIER = np.uint32(0x9E3779B1)
 CHUNK_BASE = 0x85EBCA6B
@@ -137,43 +139,81 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
-def _stretches(keyed: DataFrame) -> tuple[list[int], dict[int, int], dict[int, int]]:
-    """Cuts of the ids into stretches; per stretch its largest id; and the stretch before each in descending order (round the end)."""
-    rows = keyed.count()
-    wanted = max(1, min(MAX_STRETCHES, -(-rows // STRETCH_ROWS)))
-    cuts = sorted({int(c) for c in keyed.approxQuantile("key", [k / wanted for k in range(1, wanted)], 0.25 / wanted)}) if wanted > 1 and rows else []
-    spots = np.array(cuts, np.int64)
+class _Stretches:
+    """The order of (key descending, tag ascending), cut into stretches of which none holds much more than its share of rows.
 
-    @F.pandas_udf(IntegerType())
-    def stretch(keys: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(spots, keys.to_numpy()), dtype="int32")
+    Keys are cut at approximate quantiles; a key that fills more than one share has its rows cut by their tags. Stretches have
+    numbers (key part, tag part); what the driver holds is a few values for each, and they are as many as tasks need.
+    """
 
-    tops = {r["stretch"]: r["top"] for r in keyed.select(stretch("key").alias("stretch"), F.col("key").cast("long").alias("key")).groupBy("stretch").agg(F.max("key").alias("top")).collect()}
-    order = sorted(tops, reverse=True)
-    return cuts, tops, {s: order[k - 1] for k, s in enumerate(order)}
+    def __init__(self, keyed: DataFrame) -> None:
+        tasks = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        rows = keyed.count()
+        wanted = max(1, min(STRETCHES_A_TASK * tasks, -(-rows // STRETCH_ROWS)))
+        found = [min(int(c), (1 << 63) - 1) for c in keyed.approxQuantile("key", [k / wanted for k in range(1, wanted)], 0.25 / wanted)] if wanted > 1 else []
+        # A key that is several quantiles gets a part of its own.
+        alone = {c for c, after in zip(found, found[1:], strict=False) if c == after}
+        self.spots = np.array(sorted({*found, *(c - 1 for c in alone if c > NO_ID)}), np.int64)
+        single = [c in alone for c in self.spots.tolist()] + [False]
+        parts = {r["part"]: r["count"] for r in keyed.select(self._part()("key").alias("part")).groupBy("part").count().collect()}
+        share = max(1, -(-rows // wanted))
+        self.cuts = {p: max(1, -(-n // share)) if single[p] else 1 for p, n in parts.items()}
+        ends = keyed.select(self.number()("key", "tag").alias("stretch"), F.struct(F.col("key"), (-F.col("tag")).alias("tag")).alias("place"))
+        self.tops = {r["stretch"]: (r["top"]["key"], -r["top"]["tag"]) for r in ends.groupBy("stretch").agg(F.max("place").alias("top")).collect()}
+        order = sorted(self.tops, key=lambda s: (-(s >> 32), s & 0xFFFFFFFF))
+        #: The stretch before each, round the end.
+        self.before = {s: order[k - 1] for k, s in enumerate(order)}
+
+    def _part(self):
+        spots = self.spots
+
+        @F.pandas_udf(IntegerType())
+        def part(keys: pd.Series) -> pd.Series:
+            return pd.Series(np.searchsorted(spots, keys.to_numpy()), dtype="int32")
+
+        return part
+
+    def number(self):
+        """A function of key and tag: the stretch's number, the key's part above the tag's."""
+        spots = self.spots
+        cuts = np.array([self.cuts.get(p, 1) for p in range(len(spots) + 1)], np.int64)
+
+        @F.pandas_udf(LongType())
+        def stretch(keys: pd.Series, tags: pd.Series) -> pd.Series:
+            part = np.searchsorted(spots, keys.to_numpy()).astype(np.int64)
+            return pd.Series((part << 32) + ((tags.to_numpy() * cuts[part]) >> TAG_BITS))
+
+        return stretch
+
+    def targets(self):
+        """A function of key and tag: the stretches that a row goes to, twice the number, plus one where it's the guest of the stretch before."""
+        number, tops, before = self.number().func, self.tops, self.before
+
+        @F.pandas_udf(ArrayType(LongType()))
+        def targets(keys: pd.Series, tags: pd.Series) -> pd.Series:
+            own = number(keys, tags)
+            return pd.Series([[2 * s, 2 * before[s] + 1] if tops[s] == (k, t) else [2 * s] for s, k, t in zip(own.tolist(), keys.tolist(), tags.tolist(), strict=True)])
+
+        return targets
 
 
 def neighbours(documents: DataFrame) -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) of every row.
 
-    The next document is the one with the next smaller doc_id (null ids last, ties by text; after the last the first, which
-    for a single row is the row itself). Null text is empty; an empty table gives an empty result; other columns are not read.
+    The next document is the one with the next smaller doc_id (null ids last, ties by a hash of the text; after the last the
+    first, which for a single row is the row itself; rows equal in id and text follow one another). Null text is empty; an
+    empty table gives an empty result; other columns are not read; texts of any length are read whole.
 
-    The ids are cut into stretches of neighbours by approximate quantiles; a stretch is sorted where it is, and the first row
-    of each is also sent to the stretch before it, so texts are shuffled once and no ordering meets in one task.
+    The order is cut into stretches of neighbours; a stretch is sorted where it is, and the first row of each is also sent to
+    the stretch before it, so texts are shuffled once and no ordering and no id meets in one task.
     """
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("key"))
-    cuts, tops, before = _stretches(documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("key")))
-    spots = np.array(cuts, np.int64)
-
-    @F.pandas_udf(ArrayType(IntegerType()))
-    def targets(keys: pd.Series) -> pd.Series:
-        own = np.searchsorted(spots, keys.to_numpy())
-        return pd.Series([[int(2 * s), 2 * before[s] + 1] if tops[s] == k else [int(2 * s)] for s, k in zip(own.tolist(), keys.tolist(), strict=True)])
-
-    placed = rows.withColumn("targets", targets("key")).select("doc_id", "text", "key", F.explode("targets").alias("target"))
-    placed = placed.select("doc_id", "text", F.shiftright("target", 1).alias("stretch"), (F.col("target") % 2).alias("guest"), "key")
-    ordered = placed.repartition("stretch").sortWithinPartitions("stretch", "guest", F.desc("key"), "text")
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("key")
+    tag = F.shiftrightunsigned(F.xxhash64(text_or_empty()), 64 - TAG_BITS).alias("tag")
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"), key, tag)
+    stretches = _Stretches(documents.select(key, tag))
+    placed = rows.withColumn("target", F.explode(stretches.targets()("key", "tag")))
+    placed = placed.select("doc_id", "text", F.shiftright("target", 1).alias("stretch"), (F.col("target") % 2).alias("guest"), "key", "tag")
+    ordered = placed.repartition("stretch").sortWithinPartitions("stretch", "guest", F.desc("key"), "tag", "text")
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
