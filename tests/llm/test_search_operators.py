@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 
 import numpy as np
 import pytest
@@ -168,6 +169,57 @@ def test_secrets_query_against_plain_python(spark):
         assert set(filter(None, joined.split(","))) <= set(row.spans.split(","))
 
 
+def _without_repeats(rows):
+    """Plain: (doc_id, text, words removed) where sentences of runs seen before, in order of doc_id, are left out."""
+    seen, out = set(), []
+    for doc_id, text in sorted(rows, key=lambda r: r[0]):
+        words = [(m.start(), m.group(), text[m.end() : m.end() + 1]) for m in re.finditer(r"[^ \t\n\x0b\x0c\r]+", text or "")]
+        sentences, own = [], []
+        for at, word, _ in words:
+            own.append((at, word))
+            stop = at + len(word)
+            rest = text[stop:]
+            blank = rest[: len(rest) - len(rest.lstrip(" \t\n\x0b\x0c\r"))]
+            if word[-1] in ".!?;:," or len(word.encode()) >= 10 or "\n" in blank or not rest:
+                sentences.append(own)
+                own = []
+        if own:
+            sentences.append(own)
+        hidden, runs = set(), set()
+        for first in range(len(sentences)):
+            for last in range(first + 2, len(sentences) + 1):
+                if sum(map(len, sentences[first:last])) >= 16:
+                    runs.add((first, last))
+                    break
+        for last in range(2, len(sentences) + 1):
+            for first in range(last - 2, -1, -1):
+                if sum(map(len, sentences[first:last])) >= 16:
+                    runs.add((first, last))
+                    break
+        for first, last in sorted(runs):
+            key = str([[w for _, w in s] for s in sentences[first:last]])
+            if key in seen:
+                hidden |= set(range(first, last))
+            seen.add(key)
+        kept, at = [], 0
+        for k, sentence in enumerate(sentences):
+            stop = sentences[k + 1][0][0] if k + 1 < len(sentences) else len(text)
+            if k not in hidden:
+                kept.append(text[sentence[0][0] if k else 0 : stop])
+            elif k == 0:
+                kept.append(text[: sentence[0][0]])
+        out.append((doc_id, "".join(kept) if hidden else text, sum(len(sentences[k]) for k in hidden)))
+    return out
+
+
+@pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no test tables")
+def test_span_query_against_plain_runs(spark):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF_DIR}/documents.parquet").select("doc_id", "text").collect()]
+    found = sorted((r.doc_id, r.text, r.removed_words) for r in queries.QUERIES["op3_spans"](spark, SF_DIR).collect())
+    expected = _without_repeats(rows)
+    assert found == expected and sum(n > 0 for _, _, n in expected) > 5
+
+
 @pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no test tables")
 def test_registered_queries_cover_their_tables(spark):
     """One row per row of the table for each query that promises it, and the contract's columns first."""
@@ -185,7 +237,7 @@ def test_pipeline_against_plain_python(spark):
     import corpus_pipeline
     import public_tokenizers
 
-    from tessera.llm import packing, secret_scan, simhash, span_dedup
+    from tessera.llm import packing, secret_scan, simhash
     from tessera.llm.common import materialize
 
     docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
@@ -204,17 +256,7 @@ def test_pipeline_against_plain_python(spark):
     assert all(any(k <= i and (prints[k] ^ p).bit_count() <= 2 for k in kept) or i not in kept for i, p in prints.items())
     assert all((prints[a] ^ prints[b]).bit_count() > 2 for a in kept for b in kept if a < b)
     before, after = seen["span_dedup"]
-    runs_seen: set[int] = set()
-    expected = {}
-    for r in sorted(before, key=lambda r: r.doc_id):
-        found, first, count = span_dedup.runs(r.text)
-        covered = np.zeros(len(span_dedup.sentences(r.text)[1]), bool)
-        for h, f, n in zip(found.tolist(), first, count, strict=True):
-            if h in runs_seen:
-                covered[f : f + n] = True
-            runs_seen.add(h)
-        covered = span_dedup.long_enough(covered, span_dedup.sentences(r.text)[1])
-        expected[r.doc_id] = span_dedup.remove(r.text, covered)[0] if covered.any() else r.text
+    expected = {k: t for k, t, _ in _without_repeats([(r.doc_id, r.text) for r in before])}
     assert {r.doc_id: r.text for r in after} == {k: t for k, t in expected.items() if t.strip(" ")}
     before, after = seen["secret_scan"]
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
