@@ -79,3 +79,24 @@ def with_ids(documents: DataFrame, key: str, prefix: str, order: Sequence[str])
     """Missing ids filled as prefix and row number within their source order."""
     place = F.row_number().over(Window.partitionBy(F.col(key).isNull()).orderBy(*order))
     return documents.withColumn(key, F.coalesce(key, F.concat(F.lit(prefix), place.cast("string"))))
+
+
+# The schema tag of point clouds and the names of a point's values.
+POINT_CLOUD, POINT_FIELDS = "hue_points.v1", ("h", "c", "l", "dh", "c_gain", "l_gain")
+
+
+def point_clouds(spark: SparkSession, pattern: str, tag: str = POINT_CLOUD) -> DataFrame:
+    """(cloud, strength, h, c, l, dh, c_gain, l_gain): the points of every JSON document of a pattern; cloud is its file name.
+
+    A document that is malformed, has another schema tag or no points fails the job and is named; strength is 1 where absent.
+    """
+    values = ", ".join(f"{f}: double" for f in POINT_FIELDS)
+    read = spark.read.schema(f"schema string, strength double, points array<struct<{values}>>, _corrupt_record string").option("multiLine", "true").json(pattern)
+    name = _name(F.col("_metadata.file_path"))
+
+    def refuse(what: str) -> Column:
+        return F.raise_error(F.concat(F.lit(f"{what}: "), name))
+
+    sound = F.when(F.col("_corrupt_record").isNotNull(), refuse("malformed point cloud")).when(~F.col("schema").eqNullSafe(tag), refuse("unknown schema of a point cloud"))
+    sound = sound.when(F.coalesce(F.size("points"), F.lit(0)) < 1, refuse("point cloud without points")).otherwise(F.col("points"))
+    return read.select(name.alias("cloud"), F.coalesce("strength", F.lit(1.0)).alias("strength"), F.inline(sound))
