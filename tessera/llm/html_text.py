@@ -6,7 +6,8 @@ emits all visible text of it: block elements stand on lines of their own with a
 list items have bullets or numbers and indent, table cells are aligned in columns (spanning columns and rows as they say, wide
 characters as two), preformatted text keeps its white space. Scripts, styles, templates, closed dialogs, what a closed details
 element folds, and elements hidden by attribute, inline style or a plain rule of the page's style sheets (element, class and id
-selectors) are left out; visibility is inherited and can be taken back, display can't.
+selectors; rules with combinators, pseudo-classes or attribute selectors don't count, and !important makes no difference) are
+left out; visibility is inherited and can be taken back, display can't. Text in drawings and formulas is text.
 
 Nesting has no limit: tree and renderer keep their own stacks. Work and output are in proportion to the page: indents grow to
 MAX_INDENT only, tables within a cell flow, and where padding would exceed a table's own text, its columns are cut to the
@@ -30,9 +31,13 @@ from tessera.llm.common import map_batches
 # Element names by role, as the HTML standard has them.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-UNSEEN = frozenset("script style template head title meta link noscript iframe object video audio canvas svg math datalist noembed noframes param source track".split())
+UNSEEN = frozenset("script style template head title meta link noscript iframe object video audio canvas datalist noembed noframes param source track desc metadata defs symbol clippath annotation annotation-xml".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table pre blockquote figure hr fieldset".split())
 BLOCK = SPACED | frozenset("address article aside body center dd details dialog dir div dt fieldset figcaption footer form header hgroup html legend li main menu nav option optgroup search section summary tr caption thead tbody tfoot td th".split())
+#: Elements whose end tag, where they are styled, ends what stands open within them; that of other inline elements counts only
+#: outside inner blocks.
+FORMATTING = frozenset("a b big code em font i nobr s small strike strong tt u".split())
+DRAWN = ("svg", "math")
 #: What an opening tag ends, if it is open with nothing of `keeps` above it.
 ENDS = {
     "li": (frozenset(["li"]), frozenset(["ul", "ol", "menu", "table"])),
@@ -78,10 +83,11 @@ class Node:
     show has display and visibility as far as they are given; marks are the selector parts of its class and id.
     """
 
-    __slots__ = ("children", "closed", "columns", "marks", "name", "rows", "show", "start")
+    __slots__ = ("children", "closed", "columns", "marks", "name", "rows", "show", "start", "value")
 
     def __init__(self, name: str) -> None:
         self.name, self.start, self.columns, self.rows, self.closed = name, 1, 1, 1, False
+        self.value: int | None = None
         self.children: list[Node | str] = []
         self.show: dict[str, str] = {}
         self.marks: tuple[str, ...] = ()
@@ -92,9 +98,12 @@ class _Open:
 
     def __init__(self, root: Node) -> None:
         self.stack, self.places = [root], {}
+        self.blocks = [0]
 
     def push(self, node: Node) -> None:
         self.places.setdefault(node.name, []).append(len(self.stack))
+        if node.name in BLOCK:
+            self.blocks.append(len(self.stack))
         self.stack.append(node)
 
     def last(self, names: Iterable[str]) -> int:
@@ -104,6 +113,8 @@ class _Open:
     def cut(self, place: int) -> None:
         while len(self.stack) > place:
             self.places[self.stack.pop().name].pop()
+        while self.blocks[-1] >= place > 0:
+            self.blocks.pop()
 
     def close(self, names: frozenset[str], keeps: frozenset[str]) -> None:
         """End all elements of these names within the innermost of keeps."""
@@ -133,6 +144,8 @@ def _element(name: str, rest: str) -> Node:
             node.marks += (f"#{value.strip()}",)
         elif key == "start":
             node.start = _number(value, -(10**9), 10**9, 1)
+        elif key == "value" and name == "li":
+            node.value = int(value) if re.fullmatch(r"-?[0-9]{1,9}", value) else None
         elif key == "colspan":
             node.columns = _number(value, 1, MAX_COLUMNS, 1)
         elif key == "rowspan":
@@ -234,7 +247,8 @@ def parse(page: str) -> Node:
                 stack[-1].children.append(Node("p"))
             else:
                 place = opened.last((name,))
-                if place and (name in TABLE_PARTS or place >= opened.last(("table", "td", "th"))):
+                inner = name not in BLOCK and opened.blocks[-1] > place and not (name in FORMATTING and (stack[place].show or stack[place].marks))
+                if place and not inner and (name in TABLE_PARTS or place >= opened.last(("table", "td", "th"))):
                     opened.cut(place)
             continue
         if name == "html":
@@ -258,7 +272,7 @@ def parse(page: str) -> Node:
             if name == "style":
                 sheets.append(inside)
             at = end.end() if end else size
-        elif name not in VOID:
+        elif name not in VOID and not (rest.endswith("/") and opened.last(DRAWN)):
             opened.push(node)
     rules: dict = {}
     for css in sheets:
@@ -494,7 +508,7 @@ def _into(node: Node, out: _Lines, pre: bool, seen: bool, flat: bool) -> _Steps:
             out.end(1)
             yield _table(child, out, visible)
             out.end(1)
-        elif name in ("td", "th"):
+        elif name in ("td", "th", "text"):
             out.text(" ")
             yield _into(child, out, pre, visible, flat)
             out.text(" ")
@@ -508,6 +522,7 @@ def _into(node: Node, out: _Lines, pre: bool, seen: bool, flat: bool) -> _Steps:
             out.end(int(alone))
             indent, waiting = out.indent, len(out.marks)
             if name == "li":
+                number = number if child.value is None else child.value
                 out.mark(f"{number}. " if node.name == "ol" else "- ")
                 number += 1
             else:

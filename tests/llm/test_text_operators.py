@@ -416,6 +416,25 @@ def test_packing_pieces_against_library(documents):
     assert sorted((str(r.doc_id), r.piece, r.start, r.length, r.ids_crc32) for r in found) == sorted(expected)
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<span hidden>a<div>b</span>SECRET</div>after", ""),
+        ("<span hidden>a<div>b</div>c</span>after", "after"),
+        ("<div><span hidden>a</div>b", "b"),
+        ("<b hidden>a<div>b</b>seen</div>", "seen"),
+        ("<i>x<p>y</i>z</p>w", "x\n\nyz\n\nw"),
+        ("a <math><mi>x</mi><mo>+</mo><mn>1</mn><annotation>no</annotation></math> b", "a x+1 b"),
+        ("<svg><title>no</title><defs><text>no</text></defs><g><path d='M0'/><circle r=1 /><text>one</text><text>two</text></g></svg><p>after", "one two\n\nafter"),
+        ("<svg><foreignObject><div>in</div></foreignObject></svg>out", "in\nout"),
+        ("<ol start=3><li>a<li value=7>b<li>c<li value=x>d<li value=-2>e</ol>", "3. a\n7. b\n8. c\n9. d\n-2. e"),
+        ("<ul><li value=4>a</ul>", "- a"),
+    ],
+)
+def test_html_cases(page, text):
+    assert html_text.text_of(page) == text
+
+
 def test_html_pages():
     """Hidden content, spans, folded parts and wide characters."""
     assert html_text.text_of("<div>" * 199 + "<div hidden>SECRET</div>") == ""
