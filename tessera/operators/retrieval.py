@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import math
+from collections import Counter
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.toning import bound
+from tessera.sources.shared import shared_path
+
 
 def tokens(text: Column) -> Column:
     """Lower-case runs of ASCII letters and digits, then runs of CJK characters."""
@@ -33,26 +38,37 @@ def term_frequencies(documents: DataFrame, key: str, text: str) -> DataFrame:
 def search(documents: DataFrame, key: str, text: str, query: Sequence[str], top_k: int | None = 5) -> DataFrame:
     """(key, score, confidence) by inverse document frequency times log frequency over the query's terms, scaled by coverage.
 
-    Only the query's terms are counted, in one pass over the documents: other stems are left out where they arise, and each
-    document has at most one row per query term, made in place. Nothing but matching rows is shuffled. Keys are unique.
+    Only the query's terms are counted, in one pass over the texts that tokenises each once: other stems are left out where they
+    arise, and each document has at most one row per query term, made in place. These few rows are written to the shared folder
+    and serve the frequencies and the scores. Keys are unique.
     """
-    spark = documents.sparkSession
-    terms = spark.createDataFrame([(i, t) for i, t in enumerate(query)], "n int, token string").select("n", stem(F.lower("token")).alias("term"))
-    wanted = terms.groupBy("term").agg(F.count(F.lit(1)).alias("times"))
-    total = documents.agg(F.greatest(F.count(F.lit(1)), F.lit(1)).alias("total"))
-    known = [r["term"] for r in wanted.select("term").collect()]
-    stems = documents.select(key, F.filter(F.transform(tokens(F.col(text)), stem), lambda t: t.isin(known)).alias("stems")).where("size(stems) > 0")
-    counted = stems.select(key, F.explode(F.transform(F.array_distinct("stems"), lambda t: F.struct(t.alias("term"), F.size(F.filter("stems", lambda s: s == t)).alias("tf")))).alias("t"))
-    found = counted.select(key, "t.*").join(F.broadcast(wanted), "term")
-    frequency = found.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    weighted = found.join(F.broadcast(frequency), "term").join(F.broadcast(total))
-    gain = F.ln(1 + F.col("total") / F.greatest("df", F.lit(1))) * (1 + F.ln(1 + F.col("tf"))) * F.col("times")
-    scored = weighted.groupBy(key).agg(F.sum(gain).alias("raw"), F.sum("times").alias("hits"))
+    times = Counter(_stem_of(t.lower()) for t in query)
+    total = max(1, documents.count())
+    stems = F.filter(F.transform(tokens(F.col(text)), stem), lambda t: t.isin(list(times)))
+    counts = bound(stems, lambda found: F.transform(F.array_distinct(found), lambda t: F.struct(t.alias("term"), F.size(F.filter(found, lambda s: s == t)).alias("tf"))))
+    rows = documents.select(key, F.explode(counts).alias("t")).select(key, "t.*")
+    path = shared_path(documents.sparkSession, "search")
+    rows.write.parquet(path)
+    found = documents.sparkSession.read.schema(rows.schema).parquet(path)
+    # One row per query term at most.
+    frequency = {r["term"]: r["df"] for r in found.groupBy("term").agg(F.count(F.lit(1)).alias("df")).collect()}
+    known = F.create_map(*[F.lit(x) for t in times for x in (t, math.log(1 + total / max(frequency.get(t, 0), 1)))])
+    asked = F.create_map(*[F.lit(x) for t, n in times.items() for x in (t, n)])
+    gain = F.try_element_at(known, F.col("term")) * (1 + F.ln(1 + F.col("tf"))) * F.try_element_at(asked, F.col("term"))
+    scored = found.groupBy(key).agg(F.sum(gain).alias("raw"), F.sum(F.try_element_at(asked, F.col("term"))).alias("hits"))
     score = F.round(F.col("raw") * (0.6 + 0.4 * F.col("hits") / F.lit(max(1, len(query)))), 4)
     out = scored.select(key, score.alias("score"), F.round(F.least(F.lit(0.95), 0.25 + 0.12 * score), 4).alias("confidence"))
     return out if top_k is None else out.orderBy(F.desc("score"), key).limit(top_k)
 
 
+def _stem_of(token: str) -> str:
+    """stem() of one token, for the query."""
+    for ending, least in (("es", 5), ("s", 4), ("ing", 6)):
+        if token.endswith(ending) and len(token) >= least:
+            return token[: len(token) - len(ending)]
+    return token
+
+
 def hit_score(text: Column, query: Sequence[str]) -> Column:
     """One per query token that the text contains, 0.2 for a single CJK character."""
     low = F.lower(text)

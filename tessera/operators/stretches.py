@@ -96,12 +96,21 @@ def digests(rows: DataFrame, keys: Sequence[str], order: Sequence[str], text: Co
     return whole.select(*keys, "n", F.md5(F.array_join(F.transform("__parts", lambda r: r["d"]), ",")).alias("digest"))
 
 
+def value_counts(rows: DataFrame, by: Sequence[str], value: str) -> DataFrame:
+    """(by, __v, __n): how often each value stands in a group; nulls are left out."""
+    return rows.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
+
+
 def quantiles(rows: DataFrame, by: Sequence[str], value: str, at: Sequence[float]) -> DataFrame:
     """(by, q): the exact quantiles of value per group as an array, interpolated between neighbours; groups without a value are left out.
 
     Values are counted first, so a value that repeats is one row; the counts give the places.
     """
-    counts = rows.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
+    return quantiles_of_counts(value_counts(rows, by, value), by, at)
+
+
+def quantiles_of_counts(counts: DataFrame, by: Sequence[str], at: Sequence[float]) -> DataFrame:
+    """quantiles() of value_counts(): each value once per group, with its number of rows."""
     laid = placed(counts, by, ["__v"], "__n")
     picks = []
     for i, q in enumerate(at):

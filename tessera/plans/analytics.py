@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.operators import corpus, stretches
+from tessera.operators import corpus, fits, stretches
 from tessera.plans.tables import table
 
 CURVE = ((0.0, 0.0), (10.0, 4.0), (20.0, 6.0), (35.0, 5.0), (50.0, 9.0))
@@ -31,12 +31,17 @@ def ab_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A/B per return flag and in all: median and p95 of both tracks, rows that improved, worst regression."""
     a, b = F.col("l_extendedprice"), F.col("l_extendedprice") * (1 - F.col("l_discount")) * (1 + F.col("l_tax"))
     rows = table(spark, sf_dir, "lineitem").select("l_returnflag", a.alias("a"), b.alias("b"))
-    none = F.lit(None).cast("string")
-    both = rows.select(F.explode(F.array(F.struct(F.lit(False).alias("whole"), "l_returnflag"), F.struct(F.lit(True).alias("whole"), none.alias("l_returnflag")))).alias("g"), "a", "b").select("g.*", "a", "b")
-    counts = both.groupBy("whole", "l_returnflag").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("b") < F.col("a")).alias("improved"), F.max(F.col("b") - F.col("a")).alias("worst"))
-    for track in ("a", "b"):
-        found = stretches.quantiles(both, ["whole", "l_returnflag"], track, (0.5, 0.95)).select(F.col("whole").alias("all"), F.col("l_returnflag").alias("flag"), F.col("q").alias(f"p{track}"))
-        counts = counts.join(found, (F.col("whole") == F.col("all")) & F.col("l_returnflag").eqNullSafe(F.col("flag"))).drop("all", "flag")
+    sums = rows.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("b") < F.col("a")).alias("improved"), F.max(F.col("b") - F.col("a")).alias("worst"))
+    whole = sums.agg(F.sum("n").alias("n"), F.sum("improved").alias("improved"), F.max("worst").alias("worst"))
+    counts = sums.withColumn("whole", F.lit(False)).unionByName(whole.withColumn("whole", F.lit(True)), allowMissingColumns=True)
+    # Each track's values are counted once per flag; the whole's counts are sums of those.
+    tracks = rows.select("l_returnflag", F.explode(F.array(F.struct(F.lit("a").alias("track"), F.col("a").alias("v")), F.struct(F.lit("b").alias("track"), F.col("b").alias("v")))).alias("t")).select("l_returnflag", "t.*")
+    values = fits.written(stretches.value_counts(tracks, ["l_returnflag", "track"], "v"), "ab-values")
+    joint = values.groupBy("track", "__v").agg(F.sum("__n").alias("__n"))
+    every = values.withColumn("whole", F.lit(False)).unionByName(joint.withColumn("whole", F.lit(True)), allowMissingColumns=True)
+    found = stretches.quantiles_of_counts(every, ["whole", "l_returnflag", "track"], (0.5, 0.95))
+    pairs = found.groupBy("whole", "l_returnflag").agg(*[F.max(F.when(F.col("track") == t, F.col("q"))).alias(f"p{t}") for t in ("a", "b")])
+    counts = fits.joined(counts, pairs, ["whole", "l_returnflag"])
     return counts.select("l_returnflag", "n", F.round(F.col("pa")[0], 3).alias("a50"), F.round(F.col("pa")[1], 3).alias("a95"), F.round(F.col("pb")[0], 3).alias("b50"), F.round(F.col("pb")[1], 3).alias("b95"), "improved", F.round("worst", 3).alias("worst"), (F.col("pb")[0] <= F.col("pa")[0]).alias("gate"))
 
 

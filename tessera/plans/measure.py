@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import color
-from tessera.operators import measure
+from tessera.operators import imaging, measure
 from tessera.plans.tables import table
 
 #: 64 components are 8 x 8 values; components lie within -1..1 and are moved to 0..255 or 0..1.
@@ -77,9 +77,15 @@ def kernel_box(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def kernel_guided(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Guided filter of each image by itself: mean and spread of the result."""
-    found = measure.guided_filter(pixel_rows(spark, sf_dir), "vec_id", 2, 400.0)
-    return found.groupBy("vec_id").agg(F.round(F.avg("smooth"), 4).alias("mean"), F.round(F.stddev_pop("smooth"), 4).alias("spread"))
+    """Guided filter of each image by itself: mean and spread of the result. Images stay rows, so nothing is shuffled."""
+    values = F.transform("embedding", lambda v: v.cast("double") * 300 + 127.5)
+    images = table(spark, sf_dir, "embeddings").select("vec_id", F.lit(8).alias("height"), F.lit(8).alias("width"), values.alias("values"))
+    found = imaging.over_images(images, lambda image: _spread(imaging.guided(image, image, 2, 400.0)), "mean double, spread double")
+    return found.select("vec_id", F.round("mean", 4).alias("mean"), F.round("spread", 4).alias("spread"))
+
+
+def _spread(image) -> dict[str, float]:
+    return {"mean": float(image.mean()), "spread": float(image.std())}
 
 
 def _rounded(rows: DataFrame, names: str, columns, digits: int = 6) -> DataFrame:
