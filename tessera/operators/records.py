@@ -94,17 +94,25 @@ def strided(place: Column, size: Column, cap: int) -> Column:
 
 
 def knot_weights(at: Column, knots: Sequence[float]) -> Column:
-    """An array of structs (knot from 0, weight): the knots of a piecewise-linear lookup that count at a place, with their shares."""
-    knots = [float(k) for k in knots]
+    """An array of structs (knot from 0, weight): the knots of a piecewise-linear lookup that count at a place, with their shares.
 
-    def one(knot: int, weight) -> Column:
-        return F.struct(F.lit(knot).alias("knot"), (weight if isinstance(weight, Column) else F.lit(float(weight))).alias("weight"))
-
-    out = F.when(at <= knots[0], F.array(one(0, 1.0)))
-    for k, (low, high) in enumerate(zip(knots, knots[1:], strict=False)):
+    knots ascend; equal ones stand for the mean of their values, so what falls to such a place is shared evenly among them.
+    """
+    places: dict[float, list[int]] = {}
+    for number, knot in enumerate(map(float, knots)):
+        places.setdefault(knot, []).append(number)
+    if list(places) != sorted(places):
+        raise ValueError("knots must ascend")
+    own = list(places.items())
+
+    def of(numbers: list[int], weight: Column) -> list[Column]:
+        return [F.struct(F.lit(n).alias("knot"), (weight / len(numbers)).alias("weight")) for n in numbers]
+
+    out = F.when(at <= own[0][0], F.array(*of(own[0][1], F.lit(1.0))))
+    for (low, below), (high, above) in zip(own, own[1:], strict=False):
         share = (at - low) / (high - low)
-        out = out.when(at < high, F.filter(F.array(one(k, 1 - share), one(k + 1, share)), lambda w: w["weight"] > 0))
-    return F.when(at.isNotNull(), out.otherwise(F.array(one(len(knots) - 1, 1.0))))
+        out = out.when(at < high, F.filter(F.array(*of(below, 1 - share), *of(above, share)), lambda w: w["weight"] > 0))
+    return F.when(at.isNotNull(), out.otherwise(F.array(*of(own[-1][1], F.lit(1.0)))))
 
 
 def marked_kind(message: Column, markers: Sequence[tuple[str, str]], other: str) -> Column:

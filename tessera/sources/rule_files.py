@@ -32,7 +32,8 @@ def to_record(rule: Rule) -> dict:
 
 
 def problems(records: Sequence[Mapping], metrics: set[str] | None = None) -> list[str]:
-    """What is wrong with the records: policies, operators, missing parameters, and with metrics given, formula names that nothing has."""
+    """What is wrong with the records: policies, operators, missing parameters, values or metrics, values that are no numbers, and
+    with metrics given, names in formulas and in conditions that nothing has."""
     out = []
     for record in records:
         name, action, condition = record.get("rule_id", "unknown"), record.get("action") or {}, record.get("condition") or {}
@@ -41,12 +42,22 @@ def problems(records: Sequence[Mapping], metrics: set[str] | None = None) -> lis
             out.append(f"{name}: conflict policy {policy!r} is not one of {POLICIES}")
         if not action.get("param"):
             out.append(f"{name}: no parameter")
-        out += [f"{name}: operator {p.get('op')!r}" for p in condition.get("all", [condition] if condition else []) if str(p.get("op", "")).lower() not in OPERATORS]
+        if action.get("formula") is None and not _is_number(action.get("value")):
+            out.append(f"{name}: neither a formula nor a number as value")
+        parts = condition.get("all", [condition] if condition else [])
+        out += [f"{name}: operator {p.get('op')!r}" for p in parts if str(p.get("op", "")).lower() not in OPERATORS]
+        out += [f"{name}: a condition without metric or value" for p in parts if not p.get("metric") or p.get("value") is None]
+        if metrics is not None:
+            out += [f"{name}: unknown metric {p['metric']!r} in a condition" for p in parts if p.get("metric") and p["metric"] not in metrics]
     if not out and metrics is not None:
         out = [f"{name}: unknown names {bad}" for name, bad in lint([to_rule(r) for r in records], metrics).items()]
     return out
 
 
+def _is_number(value: object) -> bool:
+    return isinstance(value, (int, float)) and not isinstance(value, bool)
+
+
 def load_rules(spark: SparkSession, source: Mapping | Sequence | str, metrics: set[str] | None = None) -> tuple[Rule, ...]:
     """The rules of a record, a list of records, or a JSON or YAML file at any path that Spark reads; entries that are no records are left out.
 

@@ -42,3 +42,29 @@ def test_a_failing_item_is_an_error_row(spark, tmp_path):
     rows = {r.id: r for r in spark.read.schema(found.schema).json(str(tmp_path / "out")).collect()}
     assert json.loads(rows[1].result) == {"id": 1, "inverse": 0.5} and rows[1].error is None
     assert rows[2].result is None and rows[2].error.startswith("ZeroDivisionError") and rows[3].error.startswith("TypeError")
+
+
+def test_rule_packs_are_checked(spark):
+    from tessera.sources import rule_files
+
+    good = {"rule_id": "a", "condition": {"metric": "m", "op": "lt", "value": 1}, "action": {"param": "p", "value": 2}}
+    assert rule_files.problems([good], {"m"}) == []
+    cases = [
+        (good | {"condition": {"metric": "mm", "op": "lt", "value": 1}}, "unknown metric 'mm'"), (good | {"condition": {"all": [good["condition"], {"metric": "x", "op": "gt", "value": 0}]}}, "unknown metric 'x'"),
+        (good | {"action": {"param": "p"}}, "neither a formula nor a number"), (good | {"action": {"param": "p", "value": "2"}}, "neither a formula"), (good | {"action": {"param": "p", "value": True}}, "neither a formula"),
+        (good | {"condition": {"metric": "m", "op": "lt"}}, "without metric or value"), (good | {"action": {"param": "p", "formula": "m * unknown"}}, "unknown names"),
+    ]
+    for record, message in cases:
+        with pytest.raises(ValueError, match=message):
+            rule_files.load_rules(spark, [record], {"m"})
+    assert len(rule_files.load_rules(spark, [good | {"condition": None}, good | {"action": {"param": "p", "formula": "m + 1"}}], {"m"})) == 2
+
+
+def test_equal_knots_share(spark):
+    from tessera.operators import records
+
+    frame = spark.createDataFrame([(0.0,), (1.0,), (1.5,), (2.0,), (2.5,), (9.0,), (None,)], "x double")
+    found = [None if r.w is None else [(w.knot, w.weight) for w in r.w] for r in frame.select(records.knot_weights(F.col("x"), [1, 2, 2, 3]).alias("w")).collect()]
+    assert found == [[(0, 1.0)], [(0, 1.0)], [(0, 0.5), (1, 0.25), (2, 0.25)], [(1, 0.5), (2, 0.5)], [(1, 0.25), (2, 0.25), (3, 0.5)], [(3, 1.0)], None]
+    with pytest.raises(ValueError, match="ascend"):
+        records.knot_weights(F.col("x"), [2, 1])
