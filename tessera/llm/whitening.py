@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.mllib.common import callMLlibFunc
 from pyspark.mllib.linalg import Matrices
@@ -72,11 +73,18 @@ def block_matrix(df: DataFrame, rows: int, dims: int) -> BlockMatrix:
 
 
 def scatter(matrix: BlockMatrix, rows: int, dims: int) -> np.ndarray:
-    """The transposed matrix times the matrix; each product task multiplies a few blocks, then the products are added up."""
+    """The transposed matrix times the matrix; each product task multiplies a few blocks, then the products are added up.
+
+    Planning and both factors read the blocks, so they are kept meanwhile, on disk where memory is short; a lost executor's are
+    made anew.
+    """
+    matrix.persist(StorageLevel.MEMORY_AND_DISK)
     blocks = -(-rows // _block_rows(rows, dims))
     splits = min(blocks, max(matrix._java_matrix_wrapper._sc.defaultParallelism, -(-blocks // BLOCKS_A_TASK)))
     product = matrix.transpose()._java_matrix_wrapper.call("multiply", matrix._java_matrix_wrapper._java_model, splits)
-    return BlockMatrix(product, dims, dims).toLocalMatrix().toArray()
+    found = BlockMatrix(product, dims, dims).toLocalMatrix().toArray()
+    matrix._java_matrix_wrapper._java_model.blocks().unpersist(False)
+    return found
 
 
 def _centred(df: DataFrame, keep: str, count: int, sums: list[int]) -> DataFrame:
