@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators import states, stretches
+from tessera.operators.rules import QC_LIMIT
 from tessera.operators.toning import bound
 
 #: How a loop ends, in the order in which the exits of a round are asked for.
@@ -112,14 +113,73 @@ def replay(store: DataFrame, events: DataFrame, key: str, order: Sequence[str],
     return result, transitions.unionByName(others).unionByName(summary)
 
 
+WAY = ("RAW_PENDING", "SCREENED", "BASE_RENDERED", "EXPOSURE_ALIGNING", "COLOR_CORRECTING", "STYLE_APPLIED", "FINAL_QC")
+
+
+def life_cycle(ran: DataFrame, overflow: Callable[[Column], Column], lowered: Callable[[Column], Column], limit: float = QC_LIMIT, locked: Column | None = None, rejected: Column | None = None) -> DataFrame:
+    """Add state, path, reason, qc_ratio and rollbacks to what bounded_loop() gave; params are those that the item ends with.
+
+    An item with a rejection (a text) goes to review after screening and keeps its parameters. Each round of the loop takes the
+    item one state on, to STYLE_APPLIED at most; a stopped item stays where it is, one sent to review goes there from there. The
+    others go on to the final check: overflow(params) up to the limit is accepted; above it, lowered(params) is tried, once,
+    through EXPOSURE_ALIGNING and the states after it, unless `locked`; what is still above goes to review. A null overflow
+    counts as 0. path has all states from the first to the last, reason says what decided. All of it is one projection.
+    """
+    way = [F.lit(s) for s in WAY]
+    rounds = F.least(F.col("iterations") + 2, F.lit(5))
+    so_far = F.slice(F.array(*way), F.lit(1), rounds + 1)
+    review, accepted = F.array(F.lit("MANUAL_REVIEW")), F.array(F.lit("ACCEPTED"))
+    whole, again = F.array(*way), F.array(*way[3:])
+    kept = F.lit(False) if locked is None else F.coalesce(locked, F.lit(False))
+    turned_down = F.lit(None).cast("string") if rejected is None else rejected
+
+    def judged(first: Column) -> Column:
+        def twice(params: Column) -> Column:
+            def ended(second: Column) -> Column:
+                over, over_again = first > limit, second > limit
+
+                def row(path: Column, reason: str | Column, params_: Column, ratio: Column | None = None, rollbacks: int | Column = 0) -> Column:
+                    return F.struct(
+                        path.alias("path"), (F.lit(reason) if isinstance(reason, str) else reason).alias("reason"), params_.alias("params"),
+                        (F.lit(None).cast("double") if ratio is None else ratio).alias("qc_ratio"), F.lit(rollbacks).alias("rollbacks"),
+                    )
+
+                own = F.col("params")
+                out = F.when(turned_down.isNotNull(), row(F.concat(F.slice(whole, F.lit(1), F.lit(2)), review), turned_down, own))
+                out = out.when(F.col("exit") == "stopped", row(so_far, "stopped", own)).when(F.col("exit") == "manual_review", row(F.concat(so_far, review), "unreliable", own))
+                out = out.when(~over, row(F.concat(whole, accepted), "passed", own, first)).when(kept, row(F.concat(whole, review), "locked", own, first))
+                out = out.when(~over_again, row(F.concat(whole, again, accepted), "passed_after_rollback", params, second, 1))
+                return out.otherwise(row(F.concat(whole, again, review), "over_after_rollback", params, second, 1))
+
+            return bound(F.coalesce(overflow(params).cast("double"), F.lit(0.0)), ended)
+
+        return bound(lowered(F.col("params")), twice)
+
+    done = ran.withColumn("__c", bound(F.coalesce(overflow(F.col("params")).cast("double"), F.lit(0.0)), judged))
+    kept_names = [c for c in ran.columns if c != "params"]
+    return done.select(*kept_names, F.col("__c.params").alias("params"), F.element_at("__c.path", -1).alias("state"), F.col("__c.path").alias("path"), F.col("__c.reason").alias("reason"), F.col("__c.qc_ratio").alias("qc_ratio"), F.col("__c.rollbacks").alias("rollbacks"))
+
+
+def timeline(cycles: DataFrame, key: str) -> DataFrame:
+    """(key, seq from 1, old_state, new_state, event_type, reason): one row per transition of each item's path."""
+
+    def moves(path: Column) -> Column:
+        each = F.transform(path, lambda state, i: F.struct((i + 1).alias("seq"), state.alias("old_state"), F.try_element_at(path, i + 2).alias("new_state")))
+        return F.slice(each, F.lit(1), F.greatest(F.size(path) - 1, F.lit(0)))
+
+    # An outer explode leaves the path's expression where it is; a plain one would have it computed once more for a filter.
+    steps = cycles.select(key, "reason", F.size("path").alias("__size"), F.explode_outer(bound(F.col("path"), moves)).alias("m")).where(F.col("m").isNotNull())
+    old, new = F.col("m.old_state"), F.col("m.new_state")
+    return steps.select(key, F.col("m.seq").alias("seq"), old.alias("old_state"), new.alias("new_state"), states.event_type(old, new).alias("event_type"), F.when(F.col("m.seq") == F.col("__size") - 1, F.col("reason")).otherwise("").alias("reason"))
+
+
 def advanced(state: Column, target: str = "FINAL_QC") -> Column:
     """The states that an item still passes through on the straight way from its state to the target, in order; empty if it's there
     or not on that way."""
-    way = ["RAW_PENDING", "SCREENED", "BASE_RENDERED", "EXPOSURE_ALIGNING", "COLOR_CORRECTING", "STYLE_APPLIED", "FINAL_QC"]
-    end = way.index(target)
+    end = WAY.index(target)
     ahead = F.lit(None).cast("array<string>")
-    for i, name in enumerate(way[: end + 1]):
-        ahead = F.when(state == name, F.array(*map(F.lit, way[i + 1 : end + 1])).cast("array<string>")).otherwise(ahead)
+    for i, name in enumerate(WAY[: end + 1]):
+        ahead = F.when(state == name, F.array(*map(F.lit, WAY[i + 1 : end + 1])).cast("array<string>")).otherwise(ahead)
     return F.coalesce(ahead, F.array().cast("array<string>"))
 
 

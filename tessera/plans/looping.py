@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators import loops, states
+from tessera.operators.rules import QC_LIMIT, QC_STEP
 from tessera.plans.sequences import _STATE
 from tessera.plans.tables import table
 
@@ -35,6 +36,33 @@ def exposure_loop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("vec_id", F.round(F.col("params")[0], 6).alias("exposure"), "exit", "iterations", F.round("score", 6).alias("score"), F.round("best_score", 6).alias("best_score"), "best_round", "rolled_back")
 
 
+def _cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The loop's items, with how much brighter than their mean their highlights are, taken through the whole life cycle."""
+    e = F.transform("embedding", lambda v: v.cast("double"))
+    more = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("of"), (1.9 + 2 * e[2]).alias("peak"))
+    items = _items(spark, sf_dir)
+    items = items.join(more, items["vec_id"] == more["of"]).drop("of")
+    ran = loops.bounded_loop(items, F.array(F.lit(0.0)), _measured, _proposed, rounds=ROUNDS, accept=0.97, gain=0.001, patience=2, still=1.0, window=2, tolerance=0.01, stop_before=F.col("stop"))
+
+    def overflow(params: Column) -> Column:
+        return F.greatest(F.lit(0.0), F.greatest(F.col("base"), F.lit(4.0)) * F.pow(F.lit(2.0), params[0]) * F.col("peak") / 255 - 1)
+
+    lowered = lambda params: F.array(F.round(params[0] - QC_STEP, 6))
+    return loops.life_cycle(ran, overflow, lowered, locked=F.col("vec_id") % 5 == 0, rejected=F.when(F.col("vec_id") % 23 == 0, "blurred"))
+
+
+def life_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every embedding as an item: screened, exposed in a loop, checked, lowered once if it must be, accepted or sent to review."""
+    found = _cycles(spark, sf_dir)
+    return found.select("vec_id", "state", "reason", "rollbacks", F.size("path").alias("steps"), F.round(F.col("params")[0], 6).alias("exposure"), F.round("qc_ratio", 6).alias("qc_ratio"))
+
+
+def life_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The transitions of all life cycles, counted by kind."""
+    rows = loops.timeline(_cycles(spark, sf_dir), "vec_id")
+    return rows.groupBy("old_state", "new_state", "event_type", "reason").agg(F.count(F.lit(1)).alias("n"), F.max("seq").alias("latest"))
+
+
 def _events(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """A store of users' states (one in three has left the first) and their events as a run's records."""
     events = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", F.expr(_STATE).alias("new_value"), F.when(F.col("value") > 20, "because").otherwise("").alias("reason"), "value")
@@ -73,7 +101,7 @@ def states_ahead(spark: SparkSession, sf_dir: str) -> DataFrame:
     return last.select("user_id", "state", F.array_join(loops.advanced(F.col("state")), ">").alias("ahead"))
 
 
-QUERIES = {f.__name__: f for f in (exposure_loop, replayed_states, replayed_log, states_ahead)}
+QUERIES = {f.__name__: f for f in (exposure_loop, life_cycles, life_timeline, replayed_states, replayed_log, states_ahead)}
 
 _WAY = ["SCREENED", "BASE_RENDERED", "EXPOSURE_ALIGNING", "COLOR_CORRECTING", "STYLE_APPLIED", "FINAL_QC"]
 _LIGHT = "least(255.0::DOUBLE, greatest(base, 4.0) * pow(2.0::DOUBLE, {p}))"
@@ -91,8 +119,7 @@ _REPLAY_SQL = f"""
     )
 """
 
-ORACLES = {
-    "exposure_loop": f"""
+_LOOP_SQL = f"""
         WITH RECURSIVE items AS (
             SELECT vec_id, 60 + 250 * CAST(embedding[1] AS DOUBLE) AS base, 1.2::DOUBLE + 4 * CAST(embedding[2] AS DOUBLE) AS pull, CASE WHEN vec_id % 17 = 0 THEN 3 END AS stop FROM embeddings
         ), run(vec_id, base, pull, stop, n, p, ended, iterations, score, light, best, best_score, best_round, flat, calm) AS (
@@ -111,9 +138,34 @@ ORACLES = {
             )
         ), done AS (SELECT *, CASE WHEN ended = 'max_iterations' THEN 1 - abs({_LIGHT.format(p="p")} - {TARGET}) / {TARGET} ELSE score END AS last_ FROM run WHERE ended IS NOT NULL
         ), judged AS (SELECT *, coalesce(ended NOT IN ('stopped', 'manual_review') AND coalesce(last_, -1e300) < best_score - 0.01, false) AS back, coalesce(ended = 'max_iterations' AND last_ > coalesce(best_score, -1e300), false) AS better FROM done)
+"""
+
+#: The loop's end, then the checks: ratios before and after the one lowering, the path and what decided it.
+_CYCLE_SQL = f"""{_LOOP_SQL.rstrip()}
+        , looped AS (SELECT vec_id, base, iterations, ended, CASE WHEN back THEN best ELSE p END AS p1 FROM judged
+        ), peaks AS (SELECT l.*, 1.9::DOUBLE + 2 * CAST(embedding[3] AS DOUBLE) AS peak, round(p1 - {QC_STEP}, 6) AS low FROM looped l JOIN embeddings USING (vec_id)
+        ), ratios AS (SELECT *, greatest(0.0, greatest(base, 4.0) * pow(2.0::DOUBLE, p1) * peak / 255 - 1) AS r1, greatest(0.0, greatest(base, 4.0) * pow(2.0::DOUBLE, low) * peak / 255 - 1) AS r2 FROM peaks
+        ), kinds AS (SELECT *, CASE WHEN vec_id % 23 = 0 THEN 'blurred' WHEN ended = 'stopped' THEN 'stopped' WHEN ended = 'manual_review' THEN 'unreliable' WHEN r1 <= {QC_LIMIT} THEN 'passed' WHEN vec_id % 5 = 0 THEN 'locked'
+                            WHEN r2 <= {QC_LIMIT} THEN 'passed_after_rollback' ELSE 'over_after_rollback' END AS reason FROM ratios
+        ), paths AS (
+            SELECT *, CASE WHEN reason = 'blurred' THEN {list(loops.WAY[:2])!r} || ['MANUAL_REVIEW'] WHEN reason = 'stopped' THEN {list(loops.WAY)!r}[1:least(iterations + 2, 5) + 1] WHEN reason = 'unreliable' THEN {list(loops.WAY)!r}[1:least(iterations + 2, 5) + 1] || ['MANUAL_REVIEW']
+                           ELSE {list(loops.WAY)!r} || CASE WHEN reason LIKE '%rollback' THEN {list(loops.WAY[3:])!r} ELSE [] END || [CASE WHEN reason LIKE 'passed%' THEN 'ACCEPTED' ELSE 'MANUAL_REVIEW' END] END AS path FROM kinds
+        ), cycles AS (
+            SELECT vec_id, reason, path, path[len(path)] AS state, CASE WHEN reason LIKE '%rollback' THEN 1 ELSE 0 END AS rollbacks, CASE WHEN reason LIKE '%rollback' THEN low ELSE p1 END AS p2,
+                   CASE WHEN reason LIKE '%rollback' THEN r2 WHEN reason IN ('passed', 'locked') THEN r1 END AS ratio FROM paths
+        )
+"""
+
+ORACLES = {
+    "exposure_loop": f"""{_LOOP_SQL}
         SELECT vec_id, round(CASE WHEN back THEN best ELSE p END, 6) AS exposure, ended AS exit, iterations, round(CASE WHEN back THEN best_score ELSE last_ END, 6) AS score,
                round(CASE WHEN better THEN last_ ELSE best_score END, 6) AS best_score, CASE WHEN better THEN iterations + 1 ELSE best_round END AS best_round, back AS rolled_back
         FROM judged""",
+    "life_cycles": f"{_CYCLE_SQL} SELECT vec_id, state, reason, rollbacks, CAST(len(path) AS INTEGER) AS steps, round(p2, 6) AS exposure, round(ratio, 6) AS qc_ratio FROM cycles",
+    "life_timeline": f"""
+        {_CYCLE_SQL}, steps AS (SELECT path, reason, unnest(range(1, len(path))) AS seq FROM cycles), moves AS (SELECT path[seq] AS old_state, path[seq + 1] AS new_state, seq, CASE WHEN seq = len(path) - 1 THEN reason ELSE '' END AS reason FROM steps)
+        SELECT old_state, new_state, CASE WHEN new_state = 'MANUAL_REVIEW' THEN 'AGENT_ESCALATED' WHEN new_state = 'ACCEPTED' THEN 'FINAL_QC_ACCEPT' WHEN old_state = 'FINAL_QC' THEN 'QC_ROLLBACK' ELSE 'STATE_CHANGE' END AS event_type, reason, count(*) AS n, CAST(max(seq) AS INTEGER) AS latest
+        FROM moves GROUP BY ALL""",
     "replayed_states": f"WITH {_REPLAY_SQL} SELECT user_id, state, outcome, violation FROM result",
     "replayed_log": f"""
         WITH {_REPLAY_SQL}

@@ -123,3 +123,26 @@ def test_the_way_ahead(spark):
     frame = spark.createDataFrame([("RAW_PENDING",), ("STYLE_APPLIED",), ("FINAL_QC",), ("ACCEPTED",), (None,)], "state string")
     assert [r[0] for r in frame.select(loops.advanced(F.col("state"))).collect()] == [WAY, ["FINAL_QC"], [], [], []]
     assert frame.select(loops.advanced(F.col("state"), "SCREENED")).first()[0] == ["SCREENED"]
+
+
+def test_life_cycle(spark):
+    cases = [  # exit, iterations, overflow before, overflow after, locked, rejected: state, reason, rollbacks, path's length
+        ("accepted", 3, 0.0, 0.0, False, None, "ACCEPTED", "passed", 0, 8), ("accepted", 3, 0.5, 0.0, False, None, "ACCEPTED", "passed_after_rollback", 1, 12), ("max_iterations", 6, 0.5, 0.4, False, None, "MANUAL_REVIEW", "over_after_rollback", 1, 12),
+        ("stagnated", 3, 0.5, 0.0, True, None, "MANUAL_REVIEW", "locked", 0, 8), ("stopped", 0, 0.5, 0.0, False, None, "BASE_RENDERED", "stopped", 0, 3), ("stopped", 9, 0.5, 0.0, False, None, "STYLE_APPLIED", "stopped", 0, 6),
+        ("manual_review", 1, 0.0, 0.0, False, None, "MANUAL_REVIEW", "unreliable", 0, 5), ("accepted", 1, 0.0, 0.0, False, "blurred", "MANUAL_REVIEW", "blurred", 0, 3), ("converged", 2, None, None, None, None, "ACCEPTED", "passed", 0, 8),
+    ]
+    rows = [(i, c[0], c[1], [1.0], c[2], c[3], c[4], c[5]) for i, c in enumerate(cases)]
+    ran = spark.createDataFrame(rows, "id int, exit string, iterations int, params array<double>, first double, second double, kept boolean, bad string")
+    cycles = loops.life_cycle(ran, lambda params: F.when(params[0] == 1, F.col("first")).otherwise(F.col("second")), lambda params: F.array(params[0] - 0.15), locked=F.col("kept"), rejected=F.col("bad"))
+    found = {r.id: r for r in cycles.collect()}
+    allowed = set(states.ALLOWED)
+    for i, case in enumerate(cases):
+        r = found[i]
+        assert (r.state, r.reason, r.rollbacks, len(r.path)) == case[6:], case
+        assert r.path[0] == states.INITIAL and all(pair in allowed for pair in zip(r.path, r.path[1:], strict=False))
+        assert r.params == ([0.85] if r.rollbacks else [1.0])
+    assert found[1].qc_ratio == 0.0 and found[2].qc_ratio == 0.4 and found[3].qc_ratio == 0.5 and found[4].qc_ratio is None and found[8].qc_ratio == 0.0
+    rows = sorted((r.id, r.seq, r.old_state, r.new_state, r.event_type, r.reason) for r in loops.timeline(cycles, "id").collect())
+    assert [r[1:] for r in rows if r[0] == 7] == [(1, "RAW_PENDING", "SCREENED", "STATE_CHANGE", ""), (2, "SCREENED", "MANUAL_REVIEW", "AGENT_ESCALATED", "blurred")]
+    assert [r[3] for r in rows if r[0] == 1] == found[1].path[1:] and ("QC_ROLLBACK" in {r[4] for r in rows if r[0] == 1})
+    assert sum(len(r.path) - 1 for r in found.values()) == len(rows)
