@@ -179,8 +179,9 @@ def gains(rows: DataFrame, kelvin: str, tint: str, profile: Profile) -> DataFram
 def kelvin_tint(red: np.ndarray, blue: np.ndarray, profile: Profile, rounds: int = 40) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(kelvin, tint, miss): the temperature and tint whose gains are nearest to (red, 1, blue).
 
-    Damped Newton steps on reciprocal temperature and tint from five starts, within the limits, and the best end of each row;
-    a step that doesn't come nearer is halved. miss is the distance of the gains that is left.
+    Damped Newton steps on reciprocal temperature and tint from six starts, within the limits, and the best end of each row; one
+    start is the nearest place of a coarse grid. A step that doesn't come nearer is halved, and a value that stands at a limit and
+    pulls beyond it stays there. miss is the distance of the gains that is left.
     """
     target = np.stack([red, blue], axis=1)
     guess = np.clip(cubic_kelvin(*neutral_xy(neutral_of(np.stack([red, np.ones(len(red)), blue], axis=1)), profile).T), *KELVIN_LIMITS)
@@ -189,9 +190,12 @@ def kelvin_tint(red: np.ndarray, blue: np.ndarray, profile: Profile, rounds: int
     def miss(place: np.ndarray) -> np.ndarray:
         return gains_of(1e6 / place[:, 0], place[:, 1], profile)[:, [0, 2]] - target
 
+    grid = np.array([(m, t) for m in np.linspace(low[0], high[0], 25) for t in np.linspace(low[1], high[1], 9)])
+    made = gains_of(1e6 / grid[:, 0], grid[:, 1], profile)[:, [0, 2]]
+    coarse = grid[((made - target[:, None]) ** 2).sum(axis=2).argmin(axis=1)]
     best, least = None, None
-    for kelvin, tint in ((guess, 0.0), (3000.0, 0.0), (5000.0, 0.0), (guess, 25.0), (guess, -25.0)):
-        place = np.stack([np.broadcast_to(1e6 / np.asarray(kelvin, float), len(red)), np.full(len(red), tint)], axis=1)
+    for kelvin, tint in ((1e6 / coarse[:, 0], coarse[:, 1]), (guess, 0.0), (3000.0, 0.0), (5000.0, 0.0), (guess, 25.0), (guess, -25.0)):
+        place = np.stack([np.broadcast_to(1e6 / np.asarray(kelvin, float), len(red)), np.broadcast_to(np.asarray(tint, float), len(red))], axis=1)
         place = np.clip(place, low, high)
         error = miss(place)
         for _ in range(rounds):
@@ -201,7 +205,10 @@ def kelvin_tint(red: np.ndarray, blue: np.ndarray, profile: Profile, rounds: int
                 back = np.clip(place - np.eye(2)[axis] * step, low, high)
                 sides.append((miss(moved) - miss(back)) / (moved - back)[:, axis : axis + 1])
             slope = np.stack(sides, axis=2)
-            normal = np.swapaxes(slope, 1, 2) @ slope + 1e-15 * np.eye(2)
+            pull = (np.swapaxes(slope, 1, 2) @ error[..., None])[..., 0]
+            held = ((place <= low) & (pull > 0)) | ((place >= high) & (pull < 0))
+            slope = np.where(held[:, None, :], 0.0, slope)
+            normal = np.swapaxes(slope, 1, 2) @ slope + (held[:, None, :] + 1e-15) * np.eye(2)
             step = -np.linalg.solve(normal, np.swapaxes(slope, 1, 2) @ error[..., None])[..., 0]
             for _ in range(8):
                 tried = np.clip(place + step, low, high)
