@@ -1,8 +1,10 @@
 """WARC archives of captures, and their index by an external merge.
 
 Writing: a record per page, an HTTP response with its payload, or a revisit without one where an equal payload of some length is
-kept by another record. Records are text and go out through Spark's own writer, whose line separator is the blank lines that end
-a WARC record, so archives may lie in any store that Spark can write to. Archives hold a bounded number of records.
+kept by another record. Payloads that have no copy are written where they are read: a bitmap of the digests that repeat tells
+them from all others, and only the rest, and records much longer than the mean, are dealt by digest. Records are text and go out
+through Spark's own writer, whose line separator is the blank lines that end a WARC record, so archives may lie in any store that
+Spark can write to. Archives hold a bounded number of records.
 
 Reading: each archive is parsed by one task, payloads are hashed again, and its captures leave as a run sorted by URL key and
 time. The runs are dealt by ranges of the whole order (URL key, time, archive, offset: so the captures of one hot URL are split,
@@ -28,6 +30,11 @@ LEAST_KEPT = 1000
 #: Bytes of an archive, about, and captures that a merge task has at most, about.
 ARCHIVE_BYTES = 16_000_000
 MERGE_ROWS = 50_000
+#: Words of 64 bits of the bitmap, at most (4 MB of keys and bits), and how many times the mean a record may have that isn't dealt.
+BITMAP_WORDS = 1 << 18
+LONG_RECORD = 4
+#: Bytes of a record besides its payload, about.
+OVERHEAD = 600
 
 # Fixed values of the format.
 END = "\r\n\r\n"
@@ -49,20 +56,25 @@ def _urn(key: Column) -> Column:
     return F.concat(F.lit(f"<{ID}"), F.url_encode(key.cast("string")), F.lit(">"))
 
 
-def write_archives(pages: DataFrame, captured: Column, folder: str, least: int = LEAST_KEPT) -> None:
-    """Write a WARC record for each row of pages (page_id, url, html) to new archives in folder.
+def _cell() -> tuple[Column, Column]:
+    """The word of the bitmap and the bit in it of column digest."""
+    return F.pmod(F.xxhash64("digest"), F.lit(BITMAP_WORDS)), F.expr("shiftleft(1L, CAST(shiftrightunsigned(xxhash64(digest), 58) AS INT))")
 
-    The payload is the html in UTF-8, null html an empty one. Of records with equal payloads of `least` bytes or more the one
-    with the largest page_id is a response, and so are repeated rows of that id; the others, null ids too, revisit it. Where
-    all ids are null, all are responses. captured is the time of the capture, null the epoch. Line ends in a url are
-    percent-encoded; a null url has no target.
+
+def _marked(rows: DataFrame, repeated: DataFrame, least: int, mean: float) -> DataFrame:
+    """Add dealt to rows (digest, bytes): true where the payload may have copies that revisit it, or is long for an archive's mean.
+
+    Digests share bits, so some payloads without a copy are dealt too; none with a copy is missed.
     """
-    payload = text_or_empty("html")
-    pages = pages.select("page_id", F.replace(F.replace("url", F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A")).alias("url"), payload.alias("payload"), F.sha1(payload).alias("digest"), F.octet_length(payload).cast("long").alias("bytes"), F.coalesce(captured.cast("timestamp"), F.timestamp_seconds(F.lit(0))).alias("captured"))
-    groups = materialize(pages.groupBy("digest", "bytes").agg(F.max("page_id").alias("kept"), F.count("*").alias("rows")), "warc-payloads")
-    size = groups.agg(F.sum("rows").alias("rows"), F.sum(F.col("rows") * (F.col("bytes") + 600)).alias("bytes")).first()
-    kept = groups.where((F.col("bytes") >= least) & (F.col("rows") > 1)).select("digest", "kept")
-    joined = pages.join(kept, "digest", "left")
+    word, bit = _cell()
+    bitmap = repeated.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits"))
+    found = rows.withColumn("word", word).join(F.broadcast(bitmap), "word", "left").drop("word")
+    known = (F.col("bytes") >= least) & (F.coalesce(F.col("bits"), F.lit(0)).bitwiseAND(bit) != 0)
+    return found.withColumn("dealt", known | (F.col("bytes") + OVERHEAD > LONG_RECORD * mean)).drop("bits")
+
+
+def _records(pages: DataFrame) -> DataFrame:
+    """(record): the WARC record of each page (page_id, url, payload, digest, bytes, captured, kept); kept is null where no copy is kept."""
     revisits = F.col("kept").isNotNull() & (F.col("page_id").isNull() | (F.col("page_id") < F.col("kept")))
     block = F.concat(F.lit(HTTP), F.col("bytes").cast("string"), F.lit(END), F.when(revisits, F.lit("")).otherwise(F.col("payload")))
     header = _header(
@@ -76,8 +88,31 @@ def write_archives(pages: DataFrame, captured: Column, folder: str, least: int =
         ("Content-Type", F.lit("application/http; msgtype=response")),
         ("Content-Length", F.octet_length("block").cast("string")),
     )
-    records = max(1, int(ARCHIVE_BYTES * (size["rows"] or 1) // (size["bytes"] or 1)))
-    joined.withColumn("block", block).select(F.concat(header, "block").alias("record")).write.option("lineSep", END).option("maxRecordsPerFile", records).text(folder)
+    return pages.withColumn("block", block).select(F.concat(header, "block").alias("record"))
+
+
+def write_archives(pages: DataFrame, captured: Column, folder: str, least: int = LEAST_KEPT) -> None:
+    """Write a WARC record for each row of pages (page_id, url, html) to new archives in folder.
+
+    The payload is the html in UTF-8, null html an empty one. Of records with equal payloads of `least` bytes or more the one
+    with the largest page_id is a response, and so are repeated rows of that id; the others, null ids too, revisit it. Where
+    all ids are null, all are responses. captured is the time of the capture, null the epoch. Line ends in a url are
+    percent-encoded; a null url has no target.
+    """
+    payload = text_or_empty("html")
+    pages = pages.select("page_id", F.replace(F.replace("url", F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A")).alias("url"), payload.alias("payload"), F.sha1(payload).alias("digest"), F.octet_length(payload).cast("long").alias("bytes"), F.coalesce(captured.cast("timestamp"), F.timestamp_seconds(F.lit(0))).alias("captured"))
+    groups = materialize(pages.groupBy("digest", "bytes").agg(F.max("page_id").alias("kept"), F.count("*").alias("rows")), "warc-payloads")
+    size = groups.agg(F.sum("rows").alias("rows"), F.sum(F.col("rows") * (F.col("bytes") + OVERHEAD)).alias("bytes")).first()
+    mean = (size["bytes"] or 1) / (size["rows"] or 1)
+    kept = groups.where((F.col("bytes") >= least) & (F.col("rows") > 1)).select("digest", "kept")
+    sizes = {row["dealt"]: row for row in _marked(groups, kept, least, mean).groupBy("dealt").agg(F.sum("rows").alias("rows"), F.sum(F.col("rows") * (F.col("bytes") + OVERHEAD)).alias("bytes")).collect()}
+    marked = _marked(pages, kept, least, mean)
+    parts = {False: marked.where("NOT dealt").withColumn("kept", F.lit(None).cast(pages.schema["page_id"].dataType)), True: marked.where("dealt").join(kept, "digest", "left")}
+    for dealt, part in parts.items():
+        if dealt in sizes or not dealt:
+            found = sizes.get(dealt) or {"rows": 1, "bytes": 1}
+            records = max(1, int(ARCHIVE_BYTES * found["rows"] // found["bytes"]))
+            _records(part).write.mode("append").option("lineSep", END).option("maxRecordsPerFile", records).text(folder)
 
 
 def url_key(url: str | None) -> str:

@@ -68,6 +68,33 @@ def test_archives_and_index(spark, monkeypatch):
     assert warc.archive(frame.where("false"), _when()).count() == 0
 
 
+def _dealt(spark):
+    """Bytes that all stages so far have written to shuffles."""
+    spark._jsc.sc().listenerBus().waitUntilEmpty()
+    stages = spark._jsc.sc().statusStore().stageList(None, False, False, spark._sc._gateway.new_array(spark._jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_payloads_without_copies_are_not_dealt(spark):
+    """Distinct payloads stay in their tasks, also where no join is small; those with copies, and very long ones, are found and dealt."""
+    pick = random.Random(11)
+    rows = [(i, "http://a.b/", f"{pick.getrandbits(16000):x}") for i in range(400)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    frame.write.parquet(path := tempfile.mkdtemp(prefix="spark-warc-") + "/pages")
+    before = _dealt(spark)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = warc.archive(spark.read.parquet(path), _when()).collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(found) == 400 and all(r.record_type == "response" for r in found)
+    assert _dealt(spark) - before < sum(len(html) for _, _, html in rows) / 4
+    again = rows + [(1000 + i, "http://c.d/", html) for i, _, html in rows[:50]] + [(5000, "http://l.m/", "x" * 100_000)]
+    found = {r.page_id: r for r in warc.archive(spark.createDataFrame(again, frame.schema).repartition(3), _when()).collect()}
+    assert {k: r.refers_to for k, r in found.items() if r.record_type == "revisit"} == {i: 1000 + i for i in range(50)}
+    assert len(found) == 451 and all(r.intact in (True, None) for r in found.values())
+
+
 def test_broken_archives_are_refused():
     with pytest.raises(ValueError, match="no WARC record"):
         list(warc.parse(b"HTTP/1.1 200 OK\r\n\r\n"))
