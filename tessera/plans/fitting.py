@@ -38,7 +38,7 @@ def matrix_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fitted matrix of each label applied to its pixels, held to 0..1: the mean residual per image."""
     pixels = rgb_pixels(spark, sf_dir).join(table(spark, sf_dir, "embeddings").select("vec_id", "label"), "vec_id")
     found = fits.least_squares(pixels, ["label"], _features(), _targets(), least=100)
-    both = fits.joined(pixels, found.select("label", "coefficients"), ["label"])
+    both = fits.joined(pixels, fits.written(found.select("label", "coefficients"), "matrices"), ["label"])
     missed = sum((F.abs(t - fits.predicted(F.col("coefficients"), k, _features(), 0.0, 1.0)) for k, t in enumerate(_targets())), F.lit(0.0))
     return both.groupBy("vec_id").agg(F.round(F.avg(missed), 6).alias("missed"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.operators import corpus, rules, sequences, stretches
+from tessera.operators import corpus, fits, rules, sequences, stretches
 from tessera.plans.measure import pixel_rows
 from tessera.plans.tables import table
 
@@ -107,7 +107,7 @@ def customer_value_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "customer").select("c_mktsegment", "c_custkey", "c_acctbal")
     middle = stretches.quantiles(rows, ["c_mktsegment"], "c_acctbal", (0.5,)).select("c_mktsegment", F.col("q")[0].alias("m"))
     near = F.min_by("c_custkey", F.struct(F.abs(F.col("c_acctbal") - F.col("m")), "c_custkey"))
-    return rows.join(middle, "c_mktsegment").groupBy("c_mktsegment").agg(F.min_by("c_custkey", F.struct("c_acctbal", "c_custkey")).alias("lowest"), F.max_by("c_custkey", F.struct("c_acctbal", "c_custkey")).alias("highest"), near.alias("middle"))
+    return rows.join(fits.written(middle, "segment-medians"), "c_mktsegment").groupBy("c_mktsegment").agg(F.min_by("c_custkey", F.struct("c_acctbal", "c_custkey")).alias("lowest"), F.max_by("c_custkey", F.struct("c_acctbal", "c_custkey")).alias("highest"), near.alias("middle"))
 
 
 QUERIES = {f.__name__: f for f in (stale_results, single_flight, budget_gates, review_reasons, label_groups, pack_dependencies, health_rollup, bounded_loop, breaker, decisions, strided_sample, exposure_value, customer_value_ranks)}

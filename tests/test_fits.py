@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import math
+import tempfile
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import fits
+from tessera.plans import catalogue
 
 
 def _rows(spark, **columns):
@@ -135,3 +137,36 @@ def test_minimum_norm(spark):
     for i, effects, errors in rows[:4]:
         assert np.allclose(found[i], np.linalg.lstsq(np.array(effects).T, -np.array(errors), rcond=None)[0])
     assert found[10] == [0.0] and [found[k] for k in (11, 12, 13, 14)] == [None] * 4
+
+
+def _dealt_rows(spark):
+    """Rows that all stages so far have written to shuffles."""
+    spark._jsc.sc().listenerBus().waitUntilEmpty()
+    stages = spark._jsc.sc().statusStore().stageList(None, False, False, spark._sc._gateway.new_array(spark._jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+@pytest.mark.parametrize("query", ["robust_fit", "trimmed_fit", "enclosing_ellipse", "nearest_median", "customer_value_ranks"])
+def test_rows_are_not_dealt_by_group(spark, query):
+    """A group may hold half of all rows: rows are joined with what their group holds where they lie; only counts are dealt."""
+    n, folder = 20_000, tempfile.mkdtemp(prefix="spark-fits-")
+    x, y = (F.pmod(F.hash(F.col("id"), F.lit(k)), F.lit(k)).cast("double") for k in (7, 11))
+    group = F.when(F.col("id") % 2 == 0, "O").otherwise("F")
+    ids = spark.range(n, numPartitions=2)
+    ids.select(group.alias("l_linestatus"), x.alias("l_quantity"), y.alias("l_extendedprice")).write.parquet(f"{folder}/lineitem.parquet")
+    ids.select(group.alias("p_brand"), F.col("id").alias("p_partkey"), y.alias("p_retailprice")).write.parquet(f"{folder}/part.parquet")
+    ids.select(group.alias("c_mktsegment"), F.col("id").alias("c_custkey"), y.alias("c_acctbal")).write.parquet(f"{folder}/customer.parquet")
+    lines = spark.read.parquet(f"{folder}/lineitem.parquet").toDF("k", "x", "y")
+    before = _dealt_rows(spark)
+    # Rows count as a large table, so that only a table known to be small goes to them.
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "12000")
+    try:
+        if query == "trimmed_fit":
+            assert all(9800 <= r.n <= 10_000 for r in fits.trimmed_fit(lines, ["k"], [F.lit(1.0), F.col("x")], [F.col("y")]).collect())
+        elif query == "enclosing_ellipse":
+            assert {r.k for r in fits.enclosing_ellipse(lines, ["k"], "x", "y", 0.95).collect()} == {"F", "O"}
+        else:
+            assert catalogue.QUERIES[query](spark, folder).count() == 2
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert _dealt_rows(spark) - before < n / 2
