@@ -46,6 +46,24 @@ def crop_score() -> Column:
     return sum((weight * parts[name] for name, weight in WEIGHTS[1:]), WEIGHTS[0][1] * parts[WEIGHTS[0][0]])
 
 
+def best_windows(boxes: DataFrame, keys: Sequence[str], ratios: Sequence[float], least: float, scales: Sequence[float] = (1.0, 0.95, 0.90, 0.85), steps: int = 4) -> DataFrame:
+    """(keys, ratio, scale, i, j, score): per box and ratio the window of the highest score (to six digits) that holds the share `least` of the box.
+
+    Equal scores go by the larger scale, then the smaller i and j. Score and place in that order are one number, so that the best
+    is a plain maximum: a task holds one number per box and ratio, however many windows they have. Boxes without such a window
+    are left out.
+    """
+    scales, side = sorted(set(map(float, scales)), reverse=True), steps + 1
+    levels, n = F.array(*map(F.lit, scales)), len(scales) * side * side
+    windows = crop_windows(boxes, ratios, scales, steps).where(overlap() >= least)
+    place = ((F.array_position(levels, F.col("scale")) - 1) * side + F.col("i")) * side + F.col("j")
+    score = F.round(F.round(crop_score(), 6) * 1e6).cast("long")
+    best = windows.groupBy(*keys, "ratio").agg(F.max(score * n + (n - 1 - place)).alias("__best")).withColumn("__place", n - 1 - F.pmod("__best", F.lit(n)))
+    scale = F.element_at(levels, (F.floor(F.col("__place") / (side * side)) + 1).cast("int"))
+    i, j = F.pmod(F.floor(F.col("__place") / side), F.lit(side)).cast("int"), F.pmod("__place", F.lit(side)).cast("int")
+    return best.select(*keys, "ratio", scale.alias("scale"), i.alias("i"), j.alias("j"), (F.floor(F.col("__best") / n) / F.lit(1e6)).alias("score"))
+
+
 def downsample(pixels: DataFrame, key: str, factor: int) -> DataFrame:
     """Area means over factor x factor blocks."""
     return pixels.groupBy(key, F.floor(F.col("y") / factor).cast("int").alias("y"), F.floor(F.col("x") / factor).cast("int").alias("x")).agg(F.avg("v").alias("v"))
